@@ -120,7 +120,7 @@ def running_offsets(counts: DataFrame, key: str, count: str, buckets: int = 1024
         order = Window.orderBy(key)
         return counts.select(key, (F.sum(count).over(order) - F.col(count)).alias("offset"))
     width = max(1, -(-(hi - lo + 1) // buckets))
-    rows = counts.withColumn("bucket", F.floor((F.col(key) - F.lit(lo)) / width))
+    rows = counts.withColumn("bucket", F.floor((F.col(key).cast("double") - float(lo)) / float(width)))  # monotone, and safe for any long
     sums = rows.groupBy("bucket").agg(F.sum(count).alias("total"))  # at most ``buckets`` rows
     before = sums.select("bucket", (F.sum("total").over(Window.orderBy("bucket")) - F.col("total")).alias("before"))
     inside = Window.partitionBy("bucket").orderBy(key)

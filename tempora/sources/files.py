@@ -42,7 +42,7 @@ def list_files(spark: SparkSession, inputs, error: bool = True, warning: bool =
         found, files = [], fs.listFiles(path, True)
         while files.hasNext():
             found.append(files.next().getPath().toString())
-        out += sorted(found)
+        out += sorted(f for f in found if not f.rsplit("/", 1)[-1].startswith(("_", ".")))  # marks of writers
     return out
 
 

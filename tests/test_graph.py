@@ -26,7 +26,7 @@ def pairs(frame):
     ([("A", 1), ("A", 2), ("A", 3)], 1, [(0, 1), (1, 2)], []),
     ([("A", 1), ("A", 2), ("A", 3)], 2, [(0, 1), (0, 2), (1, 2)], []),
     ([("A", 1), ("A", 2), ("A", 2), ("A", 3)], 1, [(0, 1), (0, 2), (1, 3), (2, 3)], []),
-    ([("A", 5), ("A", 4), ("A", 4), ("A", 3), ("A", 6)], 2, [(0, 4), (1, 0), (1, 4), (2, 0), (2, 4), (3, 0), (3, 1), (3, 2)], []),
+    ([("A", 5), ("A", 4), ("A", 4), ("A", 3), ("A", 6)], 2, [(0, 4), (1, 0), (1, 4), (2, 0), (2, 4), (3, 1), (3, 2)], []),
     ([("A", 1), ("B", 1)], 3, [], []),
     ([("A", 1), ("A", 2), ("B", 3)], 5, [(0, 1)], [(1, 2)]),
     ([("A", 1, 0.5), ("A", 150, 0.5), ("A", 160, 0.5)], 2, [], []),
