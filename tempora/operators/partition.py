@@ -34,9 +34,9 @@ def numbered_rows(rows: DataFrame, *order: str, within: Sequence[str] = ()) -> D
     """``row_id``: 0, 1, ... in ``order`` (inside ``within``), summed over counts by the first order column."""
     if within:
         return rows.withColumn("row_id", F.row_number().over(Window.partitionBy(*within).orderBy(*order)) - 1)
-    offsets = running_offsets(rows.groupBy(order[0]).count(), order[0], "count")
+    offsets = running_offsets(rows.groupBy(order[0]).count(), order[0], "count").withColumnRenamed("offset", "__offset")
     inside = Window.partitionBy(order[0]).orderBy(*(order[1:] or order[:1]))
-    return rows.withColumn("__n", F.row_number().over(inside)).join(offsets, order[0]).withColumn("row_id", F.col("offset") + F.col("__n") - 1).drop("__n", "offset")
+    return rows.withColumn("__n", F.row_number().over(inside)).join(offsets, order[0]).withColumn("row_id", F.col("__offset") + F.col("__n") - 1).drop("__n", "__offset")
 
 
 def chunked(rows: DataFrame, chunksize: int, *order: str) -> DataFrame:
