@@ -7,8 +7,8 @@ so that code-switched text is labelled word by word. Training maximises the cond
 (gradients by forward-backward) on a bounded sample; prediction sums the words' forward-backward
 marginals over the whole text.
 
-The sample is ``SAMPLE_DOCS`` documents of each language, those of smallest hash, of at most
-``SAMPLE_CHARS`` characters; everything else covers whole texts and all rows.
+The sample is ``SAMPLE_DOCS`` documents of each language, those of smallest hash of the id,
+of at most ``SAMPLE_CHARS`` characters; everything else covers whole texts and all rows.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; without any labelled row
 every text with letters is `und` too; ties go to the first language in alphabetical order; repeated
@@ -17,15 +17,17 @@ rows give equal results; an empty table gives no rows; other columns are ignored
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tempora.llm.storage import few_of_each
 from tempora.llm.word_table import WordTable, character_classes
 
 SAMPLE_DOCS = 200
@@ -98,8 +100,10 @@ def train(texts: list[str], labels: list[str], rounds: int = ROUNDS) -> Language
     """Fit the field on whole texts, every word of a text labelled with its language."""
     names = sorted(set(labels))
     L = len(names)
+    if not names:
+        return LanguageModel([], np.zeros((1 << SPACE_BITS, 0)), np.zeros((0, 0)), np.zeros(0), frozenset())
     words: list[str] = []
-    splitter = WordTable(character_classes(), words.extend, words.clear, limit=1 << 21)
+    splitter = WordTable(character_classes(), words.extend, None, limit=sum(map(len, texts)) // 7 + 1000)
     numbers, lines, truth = [], [np.zeros(1, np.int64)], []
     done = 0
     label_of = np.array([names.index(x) for x in labels], np.int64)
@@ -116,9 +120,12 @@ def train(texts: list[str], labels: list[str], rounds: int = ROUNDS) -> Language
     word, gold, cuts = np.concatenate(numbers), np.concatenate(truth), np.concatenate(lines)
     count = Counter(dict(enumerate(np.bincount(word, minlength=len(words)).tolist())))
     lexicon = frozenset(w for i, w in enumerate(words) if count[i] >= LEXICON_MIN)
-    features = [word_features(w, lexicon) for w in words]
-    n = np.fromiter(map(len, features), np.int64, len(features))
-    flat = np.fromiter((x for f in features for x in f), np.int64, int(n.sum()))
+    held, n = array("q"), np.zeros(len(words), np.int64)
+    for i, w in enumerate(words):
+        features = word_features(w, lexicon)
+        n[i] = len(features)
+        held.extend(features)
+    flat = np.frombuffer(held, np.int64)
     offsets = np.concatenate((np.zeros(1, np.int64), np.cumsum(n)))[:-1]
     chains = Chains(cuts[:-1], cuts[1:])
     size = 1 << SPACE_BITS
@@ -188,12 +195,12 @@ class Predictor:
                 yield (labels[k], min(1.0, max(0.0, float(row[k]) / n))) if n else (UNKNOWN, 0.0)
 
 
-def sample(docs: DataFrame, text_col: str, lang_col: str, per_language: int = SAMPLE_DOCS, most_chars: int = SAMPLE_CHARS) -> list:
-    """At most ``per_language`` labelled rows of each language, chosen by a hash of the text."""
-    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    rows = rows.where(F.col("lang").isNotNull() & (F.length("text") <= most_chars)).withColumn("at", F.xxhash64("text"))
-    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("at", "text")))
-    return rows.where(F.col("place") <= per_language).select("text", "lang").collect()
+def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = SAMPLE_DOCS, most_chars: int = SAMPLE_CHARS) -> list:
+    """At most ``per_language`` labelled rows of each language, chosen by a hash of the id."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    rows = rows.where(F.col("lang").isNotNull() & (F.length("text") <= most_chars))
+    found = few_of_each(rows, "lang", per_language, "id").select("lang", "text").collect()
+    return sorted(found, key=lambda r: (r["lang"], r["text"]))
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
@@ -217,7 +224,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Learn from labelled rows with crc32(id as text) mod 4 other than 2, and predict all rows."""
     held = F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
-    learned = sample(docs.where(~held), text_col, lang_col)
+    learned = sample(docs.where(~held), id_col, text_col, lang_col)
     model = train([r["text"] for r in learned], [r["lang"] for r in learned])
     out = identify(docs, model, id_col, text_col)
     return out.select(id_col, F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -5,12 +5,12 @@ of at least ``THRESHOLD`` the later one, by (id, place in the text), is removed;
 earlier whether or not it is removed itself.
 
 Equal lines are collapsed first. Words are ordered by rarity: by the class (power of two) of their
-frequency in the whole corpus, counted in ``BUCKETS`` hash buckets, then by hash; any order gives
+frequency in all different lines, counted in ``BUCKETS`` hash buckets, then by hash; any order gives
 the same result, a good one gives few candidates. Two similar sets share a word of their prefixes
 (the first n - ceil(t n) + 1 words), so sets meet on prefix words; length, position and the
 differing bits of a 64-bit sketch of the set bound the overlap that is still possible. Candidates are
-verified on the words themselves: first one earlier candidate of each line, which settles nearly all
-of a dense group, then, for lines that one didn't settle, all the others.
+verified on the words themselves: first the nearest earlier candidate of each line (by sketch), which
+settles nearly all of a dense group, then, for lines that one didn't settle, all the others.
 
 Defined cases: a null text stays null; lines without words are kept and match nothing; rows that
 repeat id and text have the same lines removed; a null id comes first in the order; an empty table
@@ -33,24 +33,15 @@ def _words(line: Column) -> Column:
 
 
 def _bucket(h: Column, buckets: int) -> Column:
-    return F.pmod(h, F.lit(buckets)).cast("int")
-
-
-def rarity(docs: DataFrame, text_col: str, buckets: int = BUCKETS) -> list[int]:
-    """The power of two of each bucket's word count over all documents; as many numbers for any input."""
-    words = docs.select(F.explode(F.split(F.lower(F.translate(text_col, "\n", " ")), " ")).alias("w")).where("w <> ''")
-    counts = words.groupBy(_bucket(F.xxhash64("w"), buckets).alias("b")).agg(F.floor(F.log2(F.count("*"))).cast("int").alias("c")).collect()
-    out = [0] * buckets
-    for r in counts:
-        out[r["b"]] = r["c"]
-    return out
+    """``buckets`` is a power of two."""
+    return h.bitwiseAND(F.lit(buckets - 1)).cast("int")
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, row, pos, line, lh) of every line that isn't blank."""
+    """(id, row, pos, line, lh) of every line that isn't blank; lh is a hash of 57 bits."""
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text).alias("row"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    return rows.where(F.trim("line") != "").withColumn("lh", F.xxhash64(F.lower("line")))
+    return rows.where(F.trim("line") != "").withColumn("lh", F.shiftrightunsigned(F.xxhash64(F.lower("line")), 7))
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -59,51 +50,76 @@ def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return first.select("lh", "f.id", "f.pos", "f.row", "f.line")
 
 
-def _earlier_matches(sets: DataFrame, classes: list[int], threshold: float) -> DataFrame:
-    """(lh): lines for which an earlier line has at least ``threshold``."""
-    buckets = len(classes)
+def rarity(sets: DataFrame, buckets: int = BUCKETS) -> list[int]:
+    """The power of two of each bucket's word count over all different lines; as many numbers for any input."""
+    words = sets.select(F.explode(F.split(F.lower("line"), " ")).alias("w"))
+    counts = words.groupBy(_bucket(F.xxhash64("w"), buckets).alias("b")).agg(F.floor(F.log2(F.count("*"))).cast("int").alias("c")).collect()
+    out = [0] * buckets
+    for r in counts:
+        out[r["b"]] = r["c"]
+    return out
+
+
+def _prefix_rows(sets: DataFrame, classes: list[int], threshold: float) -> DataFrame:
+    """(token, lh, id, pos, n, bits, i): the prefix words of each line, the rarest first."""
     table = F.split(F.lit(",".join(map(str, classes))), ",").cast("array<int>")
-    hashed = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
-    # class in the top bits, so that rare words come first
-    ordered = F.sort_array(F.transform(hashed, lambda h: F.shiftleft(F.coalesce(F.get(table, _bucket(h, buckets)), F.lit(0)).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(h, 7))))
+    hashed = F.array_distinct(F.array_remove(F.transform(F.split(F.lower("line"), " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
+    # the class in the top bits: sorting puts rare words first
+    rank = lambda h: F.shiftleft(F.coalesce(F.get(table, _bucket(h, len(classes))), F.lit(0)).cast("long"), 57)
+    ordered = F.sort_array(F.transform(hashed, lambda h: rank(h).bitwiseOR(F.shiftrightunsigned(h, 7))))
     tokens = sets.select("lh", "id", "pos", ordered.alias("t"))
     n = F.size("t")
-    sketch = F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
+    one = F.lit(1).cast("long")
+    sketch = F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int"))))
     prefix = F.slice("t", 1, n - F.ceil(n * threshold - 1e-9).cast("int") + 1)
-    rows = tokens.select("lh", "id", "pos", n.alias("n"), sketch.alias("bits"), F.posexplode(prefix).alias("i", "token"))
-    a, b = (rows.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("lh", "id", "pos", "n", "bits", "i"))) for s in "ab")
+    return tokens.select("lh", "id", "pos", n.alias("n"), sketch.alias("bits"), F.posexplode(prefix).alias("i", "token"))
+
+
+def _candidates(later: DataFrame, earlier: DataFrame, threshold: float) -> DataFrame:
+    """(lh, lh_b, far): lines and earlier ones that may reach ``threshold``; far is the sketches' distance."""
+    a, b = (rows.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("lh", "id", "pos", "n", "bits", "i"))) for rows, s in ((later, "a"), (earlier, "b")))
     need = F.ceil((F.col("n_a") + F.col("n_b")) * (threshold / (1 + threshold)) - 1e-9)
+    far = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b")))
     possible = (
         (F.struct("id_b", "pos_b", "lh_b") < F.struct("id_a", "pos_a", "lh_a"))
         & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * threshold - 1e-9)
         & (F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b")) >= need)
-        & (F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= F.col("n_a") + F.col("n_b") - 2 * need)
+        & (far <= F.col("n_a") + F.col("n_b") - 2 * need)
     )
-    pairs = a.join(b, (a["token"] == b["token"]) & possible).select("lh_a", "lh_b")
-    once = cut(pairs.groupBy("lh_a").agg(F.min("lh_b").alias("lh_b"), F.max("lh_b").alias("other")))
+    return a.join(b, (a["token"] == b["token"]) & possible).select(F.col("lh_a").alias("lh"), "lh_b", far.alias("far"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """``pairs`` (lh, lh_b) with ``ok``: whether the lines' words reach ``threshold``."""
     lines = sets.select("lh", "line")
+    both = pairs.join(lines.withColumnRenamed("line", "x"), "lh").join(lines.select(F.col("lh").alias("lh_b"), F.col("line").alias("y")), "lh_b")
+    x, y = F.array_distinct(_words(F.col("x"))), F.array_distinct(_words(F.col("y")))
+    common = F.size(F.array_intersect(x, y))
+    return both.withColumn("ok", common >= threshold * (F.size(x) + F.size(y) - common) - 1e-9).drop("x", "y")
+
 
-    def verified(candidates: DataFrame) -> DataFrame:
-        left = candidates.join(lines.select(F.col("lh").alias("lh_a"), F.col("line").alias("x")), "lh_a")
-        both = left.join(lines.select(F.col("lh").alias("lh_b"), F.col("line").alias("y")), "lh_b")
-        x, y = F.array_distinct(_words(F.col("x"))), F.array_distinct(_words(F.col("y")))
-        common = F.size(F.array_intersect(x, y))
-        return both.withColumn("ok", common >= threshold * (F.size(x) + F.size(y) - common) - 1e-9)
-
-    tried = cut(verified(once).select("lh_a", "lh_b", "other", "ok"))
-    found = tried.where("ok").select(F.col("lh_a").alias("lh"))
-    # lines that have other candidates than the one that failed
-    open_ = tried.where("not ok and other <> lh_b").select("lh_a", F.col("lh_b").alias("failed"))
+def _earlier_matches(sets: DataFrame, classes: list[int], threshold: float) -> DataFrame:
+    """(lh): lines for which an earlier line has at least ``threshold``."""
+    rows = _prefix_rows(sets, classes, threshold)
+    # the nearest candidate by sketch, packed so that its minimum is a sum of longs to the engine
+    packed = F.shiftleft(F.col("far").cast("long"), 57).bitwiseOR(F.col("lh_b"))
+    near = _candidates(rows, rows, threshold).groupBy("lh").agg(F.min(packed).alias("near"), F.max(packed).alias("last"))
+    near = cut(near.select("lh", F.col("near").bitwiseAND(F.lit((1 << 57) - 1)).alias("lh_b"), (F.col("near") != F.col("last")).alias("more")))
+    tried = cut(_verified(near, sets, threshold))
+    found = tried.where("ok").select("lh")
+    open_ = tried.where("more and not ok").select("lh", F.col("lh_b").alias("failed"))
     if not open_.take(1):
         return found
-    again = pairs.join(open_, "lh_a").where("lh_b <> failed").select("lh_a", "lh_b").distinct()
-    return found.unionByName(verified(again).where("ok").select(F.col("lh_a").alias("lh")).distinct())
+    # the others' candidates, all of them
+    later = _prefix_rows(sets.join(open_.select("lh"), "lh", "left_semi"), classes, threshold)
+    pairs = _candidates(later, rows, threshold).select("lh", "lh_b").distinct().join(open_, "lh").where("lh_b <> failed").select("lh", "lh_b")
+    return found.unionByName(_verified(pairs, sets, threshold).where("ok").select("lh").distinct())
 
 
 def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
     """(id, row, pos): the lines with words that stay."""
-    sets = _sets(docs, id_col, text_col)
-    dropped = _earlier_matches(sets, rarity(docs, text_col, buckets), threshold)
+    sets = cut(_sets(docs, id_col, text_col), by="lh")
+    dropped = cut(_earlier_matches(sets, rarity(sets, buckets), threshold))
     return sets.join(dropped, "lh", "left_anti").select("id", "row", "pos")
 
 

@@ -23,13 +23,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempora.llm.library_tokens import Ragged
+from tempora.llm.storage import few_of_each
 from tempora.llm.word_table import WordTable, character_classes
 
-SAMPLE_DOCS = 1500
+SAMPLE_DOCS = 1000
 SAMPLE_CHARS = 20_000
 GRADES = 3
 MIN_TOXIC_DOCS = 5
@@ -105,7 +106,7 @@ def _distinct(texts: list[str]) -> list[int]:
     """One of each group of near copies: those that share the smallest hashes of their words."""
     seen, kept = set(), []
     words: list[str] = []
-    table = WordTable(character_classes(), words.extend, words.clear, limit=1 << 21)
+    table = WordTable(character_classes(), words.extend, None, limit=sum(map(len, texts)) // 7 + 1000)
     at = 0
     for chars, begins in table.blocks([t.lower() for t in texts]):
         starts, ends = table.borders(chars)
@@ -205,10 +206,9 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     known = labels.select(F.col(id_col).alias("__id"), (F.col(label_col) > 0).cast("int").alias("toxic")).where("toxic is not null")
     known = known.groupBy("__id").agg(F.max("toxic").alias("toxic"))
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).where(F.length("text") <= most_chars)
-    # places are dealt out on hashes alone; texts join the few that stay
-    marked = rows.select("__id", F.xxhash64("text").alias("at")).join(known, "__id")
-    placed = marked.withColumn("place", F.row_number().over(Window.partitionBy("toxic").orderBy("at", "__id")))
-    few = F.broadcast(placed.where(F.col("place") <= per_kind).select("__id", "toxic").distinct())  # at most 2 * per_kind rows
+    # the choice is made on ids alone; texts join the few that stay
+    marked = rows.select("__id").join(known, "__id")
+    few = F.broadcast(few_of_each(marked, "toxic", per_kind, "__id").select("__id", "toxic").distinct())  # at most 2 * per_kind rows
     found = rows.join(few, "__id").select("text", "toxic", "__id").collect()
     return sorted(found, key=lambda r: (r["__id"], r["text"]))
 

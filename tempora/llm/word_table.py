@@ -41,7 +41,9 @@ def character_classes(white_space: str | None = None) -> np.ndarray:
 
 
 class WordTable:
-    def __init__(self, classes: np.ndarray, learn: Callable[[list[str]], None], forget: Callable[[], None], contractions: bool = False, limit: int = LIMIT):
+    """``forget`` is called when the table is emptied; without it the table never is, and ``limit`` must hold a quarter of the words."""
+
+    def __init__(self, classes: np.ndarray, learn: Callable[[list[str]], None], forget: Callable[[], None] | None, contractions: bool = False, limit: int = LIMIT):
         self.classes, self.learn, self.forget, self.contractions, self.limit = classes, learn, forget, contractions, limit
         with np.errstate(over="ignore"):
             self.values = _mix(np.arange(1, 0x110001, dtype=np.uint64) * np.uint64(_ODD))
@@ -54,7 +56,8 @@ class WordTable:
         self.numbers = np.zeros(self.slots, np.int32)
         self.long: dict[str, int] = {}
         self.size = 0
-        self.forget()
+        if self.forget:
+            self.forget()
 
     def _grow_powers(self, n: int) -> None:
         if len(self.powers) < n:
@@ -155,7 +158,7 @@ class WordTable:
                 stop += 1
             chars = np.frombuffer(" ".join([*texts[first:stop], ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
             begins = np.concatenate((np.zeros(1, np.int64), np.cumsum([len(t) + 1 for t in texts[first:stop]])))
-            if self.size > self.limit:
+            if self.size > self.limit and self.forget:
                 self._empty()
             yield chars, begins
             first = stop
