@@ -21,7 +21,7 @@ _MARK = "__verdict"
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or of which no language holds a fair share, go."""
-    learned = langid.sample(docs, "text", "lang")
+    learned = langid.sample(docs, "doc_id", "text", "lang")
     model = langid.train([r["text"] for r in learned], [r["lang"] for r in learned])
     rows = docs.select(F.struct(*docs.columns).alias(_MARK), "text")
     found = langid.identify(rows, model, _MARK)
@@ -43,10 +43,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash near-duplicates stays, the one of smallest id."""
+    """One document of each group of SimHash near-duplicates stays, the one of smallest id; rows without an id stay."""
     groups = cut(simhash.near_duplicates(docs))
     stay = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.where("doc_id is not null").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
