@@ -43,10 +43,15 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash near-duplicates stays, the one of smallest id; rows without an id stay."""
-    groups = cut(simhash.near_duplicates(docs))
-    stay = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group of SimHash near-duplicates stays, the one of smallest id; rows without an id stay.
+
+    Among rows of that id it is the one of smallest fingerprint and hashes; only rows equal in all columns collapse.
+    """
+    mark = F.concat(F.md5(F.coalesce("text", F.lit(""))), F.hex(F.xxhash64(*docs.columns)))
+    marked = docs.withColumn(_MARK, mark)
+    known = simhash.groups(marked.where("doc_id is not null"), extra=(_MARK,))
+    stay = known.groupBy("component").agg(F.min(F.struct("doc_id", "fp", _MARK)).alias("first")).select("first.doc_id", f"first.{_MARK}")
+    kept = marked.join(stay, ["doc_id", _MARK], "left_semi").dropDuplicates(["doc_id", _MARK])
     return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 

@@ -59,16 +59,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * count > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``id_col`` and ``fp``, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, extra: tuple[str, ...] = ()) -> DataFrame:
+    """``id_col``, ``extra`` columns as they are, and ``fp``, the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], names=[id_col, "fp"])
+            values = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(0)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(values.view(np.int64))], names=[*batch.schema.names[1:], "fp"])
 
-    rows = docs.select(id_col, F.col(text_col).cast("string"))
-    return rows.mapInArrow(run, f"{id_col} {rows.dtypes[0][1]}, fp long")
+    rows = docs.select(F.col(text_col).cast("string").alias("__text"), id_col, *extra)
+    kept = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes[1:])
+    return rows.mapInArrow(run, f"{kept}, fp long")
 
 
 def trie_pairs(keys: np.ndarray, begins: np.ndarray, ends: np.ndarray, bits: int = BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -216,14 +217,18 @@ def links(distinct: DataFrame, bits: int = BITS, set_rows: int = SET_ROWS) -> Da
     return sets.select("key", "fp").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
-    """``id_col``, ``fingerprint`` (16 hex digits) and ``component_id`` (the smallest id reachable) of every row."""
-    rows = cut(fingerprints(docs, id_col, text_col, shingle))
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, shingle: int = SHINGLE, extra: tuple[str, ...] = ()) -> DataFrame:
+    """``id_col``, ``extra`` columns as they are, fp, component (a fingerprint of its own for each group) and component_id of every row."""
+    rows = cut(fingerprints(docs, id_col, text_col, shingle, extra))
     distinct = cut(rows.where(F.col(id_col).isNotNull()).groupBy("fp").agg(F.min(id_col).alias("least")))
     linked = components(links(distinct.select("fp"), bits), "a", "b")
     named = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "component").select("fp", "component_id")
+    return rows.join(named.join(least, "component").select("fp", "component", "component_id"), "fp", "left")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
+    """``id_col``, ``fingerprint`` (16 hex digits) and ``component_id`` (the smallest id reachable) of every row."""
     text = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    out = rows.join(named, "fp", "left")
+    out = groups(docs, id_col, text_col, bits, shingle)
     return out.select(id_col, text.alias("fingerprint"), F.when(F.col(id_col).isNotNull(), F.col("component_id")).alias("component_id"))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from tempora.llm import langid, toxicity
 from tests.llm.helpers import SF
 from tests.llm.test_line_dedup import plain as plain_lines
-from tests.llm.test_near_duplicates import plain_simhash
+from tests.llm.test_near_duplicates import plain_fingerprint, plain_simhash
 from tests.llm.test_tokens import check_packing
 
 FOLDER = SF.replace("0.001", "0.01")
@@ -66,3 +66,16 @@ def test_empty_input(spark):
     for _, stage in pipeline.STAGES:
         out = stage(spark, docs, SF)
         assert out.count() == 0
+
+
+def test_near_duplicates_with_repeated_ids(spark):
+    a, b = (" ".join(f"{w}{i}" for i in range(300)) for w in ("alpha", "omega"))
+    near = b + " end"
+    rows = [(3, b), (5, a), (5, near), (7, a + " x"), (8, "k l m"), (8, "p q r s"), (9, "same"), (9, "same"), (None, a), (None, a)]
+    fp = [plain_fingerprint(t) for _, t in rows]
+    assert bin(fp[0] ^ fp[2]).count("1") <= 3 and bin(fp[1] ^ fp[3]).count("1") <= 3 < bin(fp[0] ^ fp[1]).count("1")
+    expected = sorted([(3, b), (5, a), (8, "k l m"), (8, "p q r s"), (9, "same"), (-1, a), (-1, a)])
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
+        out = pipeline.near_duplicates(spark, docs, SF).collect()
+        assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in out) == expected
