@@ -1,13 +1,19 @@
 """Embedding near-duplicates by sorted projection passes.
 
-Each pass orders the vectors of a label lexicographically by a code of concatenated random
-projection bits (signs of the centred vector on random directions) and compares windows of
-neighbours in that order; pairs that a cosine in double precision verifies are united over the
-passes. A window is a run with equal leading bits; their number makes it ``WINDOW`` vectors long on
-average. A run over ``BLOCK`` vectors is cut into blocks and every two blocks are compared in a task
-of their own, so no vector of a dense run goes uncompared and no task is larger than two blocks.
-The number of passes follows from the number of leading bits so that a pair at the threshold meets
-in at least one pass with probability ``RECALL``; closer pairs meet more surely.
+Each pass orders the vectors of a label (of one length) lexicographically by a code of ``CODE``
+concatenated random projection bits (signs of the shifted vector on random directions, read as a
+reflected Gray code, so that runs on either side of a border differ in one bit) and compares windows of neighbours in that order; pairs that a cosine in double precision verifies are united over
+the passes. A window is a run with equal leading bits, whose number makes it ``WINDOW`` vectors long
+on average; and at every border between two neighbouring runs, the last quarter of a ``WINDOW`` of
+vectors before it with as many after it, so that windows cross code borders. A run over ``BLOCK``
+vectors is cut into blocks and every two blocks are compared in a task of their own, so no vector of
+a dense run goes uncompared and no task is larger than two blocks.
+
+Leading bits and passes are chosen for each label and vector length. Vectors are shifted by the
+largest part of their own centre with which a pair at the threshold, lying anywhere, the vector
+nearest to the shifted origin included, meets in at least one pass with probability ``RECALL``;
+closer pairs meet more surely. Unshifted unit vectors all have length 1, so some part always does.
+A label of at most ``WINDOW`` different vectors is one run, compared whole in one pass.
 
 Equal vectors of a label are collapsed first and only counted, and a task emits for each vector how
 many others it links (a pair counts in the first pass in which it meets) and one link of a spanning
@@ -25,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempora.llm.components import components
@@ -37,17 +43,24 @@ WINDOW = 512
 BLOCK = 4096
 RECALL = 0.9995
 MOST_PASSES = 64
+CODE = 40
+SHIFTS = (1.0, 0.75, 0.5, 0.25, 0.0)
 SEED = 20_250
 
 
+def wanted_bits(vectors: int, window: int) -> int:
+    """Leading bits with which a run is ``window`` vectors long on average."""
+    return min(24, max(0, math.ceil(math.log2(max(1, vectors) / window))))
+
+
 def passes(vectors: int, threshold: float, radius: float, window: int = WINDOW, recall: float = RECALL) -> tuple[int, int]:
-    """(leading bits, passes). ``radius``: length of a centred unit vector, on average.
+    """(leading bits, passes). ``radius``: the least length of a shifted unit vector.
 
     Where more than ``MOST_PASSES`` would be needed, fewer bits and so longer windows are taken.
     """
     gap = math.sqrt(max(0.0, 2 - 2 * threshold))
     apart = 2 * math.asin(min(1.0, gap / (2 * max(radius, 1e-9)))) / math.pi
-    bits = min(24, max(0, math.ceil(math.log2(max(1, vectors) / window))))
+    bits = wanted_bits(vectors, window)
     while bits:
         meet = (1 - apart) ** bits
         turns = math.ceil(math.log(1 - recall) / math.log(1 - meet)) if 0 < meet < 1 else MOST_PASSES + 1
@@ -57,6 +70,20 @@ def passes(vectors: int, threshold: float, radius: float, window: int = WINDOW,
     return 0, 1
 
 
+def shifted(vectors: int, threshold: float, centre: np.ndarray, most: float, window: int = WINDOW, recall: float = RECALL) -> tuple[float, int, int]:
+    """(part of the centre to shift by, leading bits, passes). ``most``: the largest inner product of a vector and the centre.
+
+    The largest part that keeps all leading bits; unshifted vectors where none does.
+    """
+    wanted = wanted_bits(vectors, window)
+    for part in SHIFTS:
+        radius = math.sqrt(max(0.0, 1 - 2 * part * most + part * part * float(centre @ centre)))
+        bits, turns = passes(vectors, threshold, radius, window, recall)
+        if bits == wanted:
+            break
+    return part, bits, turns
+
+
 def _unit(column: pa.Array) -> np.ndarray:
     """Rows of a list column whose lists are equally long, as unit vectors in double precision."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -80,8 +107,11 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _compared(units: np.ndarray, block: np.ndarray, codes: np.ndarray, turn: int, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Verified index pairs of one task that have not met in an earlier pass."""
+def _compared(units: np.ndarray, block: np.ndarray, runs: np.ndarray, after: np.ndarray, before: np.ndarray, turn: int, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Verified index pairs of one task that have not met in an earlier pass.
+
+    ``runs``: each vector's run by pass; ``after`` and ``before``: the borders after and before which it stands, or 0.
+    """
     left = np.flatnonzero(block == 0)
     right = np.flatnonzero(block == 1)
     alone = not len(right)
@@ -97,7 +127,9 @@ def _compared(units: np.ndarray, block: np.ndarray, codes: np.ndarray, turn: int
         i, j = rows[i], others[j]
         first = np.ones(len(i), bool)
         for earlier in range(turn):
-            first &= codes[i, earlier] != codes[j, earlier]
+            first &= runs[i, earlier] != runs[j, earlier]
+            for x, y in ((i, j), (j, i)):
+                first &= (before[x, earlier] == 0) | (before[x, earlier] != after[y, earlier])
         if first.any():
             yield i[first], j[first]
 
@@ -107,6 +139,7 @@ def near_duplicates(
     threshold: float = THRESHOLD, window: int = WINDOW, block: int = BLOCK, recall: float = RECALL, seed: int = SEED,
 ) -> DataFrame:
     """``id_col``, n_links, component_id and kept of every row."""
+    spark = vectors.sparkSession
     element = F.col("v")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.col(label_col).alias("label"))
     double = F.transform(element, lambda x: x.cast("double"))
@@ -118,40 +151,73 @@ def near_duplicates(
     distinct = grouped.agg(F.min("id").alias("least"), F.count("*").alias("n"), F.first("v").alias("v"), F.first("label").alias("label"))
     distinct = cut(distinct.withColumn("node", F.monotonically_increasing_id()).withColumn("dims", F.size("v")))
 
+    sizes = distinct.groupBy("label", "dims").count()
+    # only what doesn't fit in one window is centred: at most one row for each ``window`` vectors comes to the driver
+    groups = sizes.where(F.col("count") > window).select(F.xxhash64("label", "dims").alias("kind"), "count").collect()
+    count = {r["kind"]: r["count"] for r in groups}
+    wide = distinct.withColumn("kind", F.xxhash64("label", "dims"))
+    some = wide.select("kind", "dims", "v").join(F.broadcast(spark.createDataFrame([(k,) for k in count], "kind long")), "kind") if count else None
+
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _groups(batches, "dims"):
-            units = _unit(part.column("v").combine_chunks())
-            yield pa.RecordBatch.from_arrays([pa.array([units.shape[1]]), pa.array([len(units)]), pa.array([units.sum(axis=0).tolist()], pa.list_(pa.float64()))], names=["dims", "n", "total"])
-
-    # one row for each batch and vector length comes to the driver: sums, not vectors
-    totals: dict[int, tuple[int, np.ndarray]] = {}
-    parts = distinct.select("dims", "v").sortWithinPartitions("dims").mapInArrow(summed, "dims long, n long, total array<double>")
-    parts = parts.select("dims", "n", F.posexplode("total").alias("axis", "x")).groupBy("dims", "axis").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
-    for r in parts.collect():
-        n, total = totals.setdefault(r["dims"], (r["n"], np.zeros(r["dims"])))
-        total[r["axis"]] = r["x"]
-    centre = {d: total / n for d, (n, total) in totals.items()}
-    largest = distinct.groupBy("label", "dims").count().agg(F.max("count")).head()[0] or 0
-    spread = sum(n * (1 - float(centre[d] @ centre[d])) for d, (n, _) in totals.items())
-    radius = math.sqrt(max(0.0, spread / max(1, sum(n for n, _ in totals.values()))))
-    bits, turns = passes(largest, threshold, radius, window, recall)
+        for part in _groups(batches, "kind"):
+            total = _unit(part.column("v").combine_chunks()).sum(axis=0).tolist()
+            yield pa.RecordBatch.from_arrays([part.column("kind").combine_chunks()[:1], pa.array([total], pa.list_(pa.float64()))], names=["kind", "total"])
+
+    centre: dict[int, np.ndarray] = {}
+    if count:
+        parts = some.sortWithinPartitions("kind").mapInArrow(summed, "kind long, total array<double>")
+        parts = parts.select("kind", F.posexplode("total").alias("axis", "x")).groupBy("kind", "axis").agg(F.sum("x").alias("x"))
+        parts = parts.groupBy("kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("axis", "x"))), lambda p: p["x"]).alias("total"))
+        centre = {r["kind"]: np.array(r["total"]) / count[r["kind"]] for r in parts.collect()}
+
+    def farthest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _groups(batches, "kind"):
+            kind = part.column("kind")[0].as_py()
+            most = float((_unit(part.column("v").combine_chunks()) @ centre[kind]).max())
+            yield pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([most])], names=["kind", "most"])
+
+    plan: dict[int, tuple[float, int, int]] = {}
+    if count:
+        found = some.sortWithinPartitions("kind").mapInArrow(farthest, "kind long, most double").groupBy("kind").agg(F.max("most").alias("most"))
+        plan = {r["kind"]: shifted(count[r["kind"]], threshold, centre[r["kind"]], r["most"], window, recall) for r in found.collect()}
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
-        for part in _groups(batches, "dims"):
-            units = _unit(part.column("v").combine_chunks())
-            dims = units.shape[1]
-            if dims not in planes:
-                planes[dims] = np.random.default_rng([seed, dims]).standard_normal((dims, turns * bits))
-            signs = ((units - centre[dims]) @ planes[dims] >= 0).reshape(len(units), turns, bits)
-            codes = signs @ (1 << np.arange(bits, dtype=np.int64)[::-1]) if bits else np.zeros((len(units), turns), np.int64)
-            codes = pa.ListArray.from_arrays(np.arange(0, codes.size + 1, turns, dtype=np.int32), pa.array(codes.astype(np.int32).ravel()))
-            yield pa.RecordBatch.from_arrays([part.column("node").combine_chunks(), codes], names=["node", "codes"])
-
-    codes = distinct.select("node", "dims", "v").sortWithinPartitions("dims").mapInArrow(coded, "node long, codes array<int>")
-    full = cut(distinct.select("node", "n", "label", "dims", "v").join(codes, "node"))
-    placed = full.select("node", F.posexplode("codes").alias("turn", "code"), "label", "dims")
-    placed = placed.select("node", "turn", F.xxhash64("turn", "label", "dims", "code").alias("run"))
+        weights = 1 << np.arange(CODE, dtype=np.int64)[::-1]
+        for part in _groups(batches, "kind"):
+            kind = part.column("kind")[0].as_py()
+            share, bits, turns = plan.get(kind, (0.0, 0, 1))
+            units = _unit(part.column("v").combine_chunks()) if bits else np.zeros((part.num_rows, 1))
+            moved = units - share * centre[kind] if bits else units
+            codes = np.zeros((len(units), turns), np.int64)
+            for turn in range(turns if bits else 0):
+                planes = np.random.default_rng([seed, units.shape[1], turn]).standard_normal((moved.shape[1], CODE))
+                codes[:, turn] = (np.cumsum(moved @ planes >= 0, axis=1) & 1) @ weights
+            codes = pa.ListArray.from_arrays(np.arange(0, codes.size + 1, turns, dtype=np.int32), pa.array(codes.ravel()))
+            yield pa.RecordBatch.from_arrays([part.column("node").combine_chunks(), codes, pa.array(np.full(len(units), bits, np.int32))], names=["node", "codes", "bits"])
+
+    codes = wide.select("node", "kind", "v").sortWithinPartitions("kind").mapInArrow(coded, "node long, codes array<long>, bits int")
+    full = cut(wide.select("node", "n", "kind", "v").join(codes, "node"))
+    placed = full.select("node", F.posexplode("codes").alias("turn", "code"), "kind", "bits")
+    lead = F.expr(f"shiftright(code, {CODE} - bits)")
+    placed = cut(placed.select("node", "turn", "code", "kind", lead.alias("lead"), F.xxhash64("turn", "kind", lead).alias("run"), "bits"))
+    # borders: the last vectors of a run and the first of the next one
+    split = placed.where("bits > 0")
+    runs = split.select("kind", "turn", "lead", "run").distinct()
+    runs = runs.withColumn("next", F.lead("run").over(Window.partitionBy("kind", "turn").orderBy("lead")))
+    runs = cut(runs.where("next is not null").select("run", "next", F.xxhash64("run", "next", F.lit("border")).alias("border")))
+    reach = max(1, window // 4)
+
+    def ends(way: str) -> DataFrame:
+        order = Window.partitionBy("run").orderBy(*[getattr(F.col(c), way)() for c in ("code", "node")])
+        return split.select("run", "node", "turn", "code").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= reach)
+
+    last = ends("desc").join(runs.select("run", "border"), "run").select("node", "turn", F.col("border").alias("task"), F.lit(0).alias("side"))
+    first = ends("asc").join(runs.select(F.col("next").alias("run"), "border"), "run").select("node", "turn", F.col("border").alias("task"), F.lit(1).alias("side"))
+    borders = cut(last.unionByName(first))
+    held = borders.groupBy("node").agg(
+        F.collect_list(F.when(F.col("side") == 0, F.struct("turn", "task"))).alias("after"), F.collect_list(F.when(F.col("side") == 1, F.struct("turn", "task"))).alias("before"),
+    )
+
     large = placed.groupBy("run").count().where(F.col("count") > block).select("run", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
     placed = placed.join(large, "run", "left")
     own = F.pmod(F.xxhash64("node", "turn"), F.coalesce("blocks", F.lit(1))).cast("int")
@@ -160,7 +226,15 @@ def near_duplicates(
         "node", "turn", F.xxhash64("run", F.least("own", "other"), F.greatest("own", "other")).alias("task"),
         (F.col("own") > F.col("other")).cast("int").alias("side"),
     )
-    tasks = placed.join(full.select("node", "n", "v", "codes"), "node").select("task", "turn", "side", "node", "n", "v", "codes")
+    placed = placed.withColumn("border", F.lit(False)).unionByName(borders.withColumn("border", F.lit(True)))
+
+    def by_turn(name: str) -> Column:
+        pairs = F.map_from_entries(F.coalesce(name, F.array().cast("array<struct<turn:int,task:bigint>>")))
+        return F.transform(F.sequence(F.lit(0), F.size("codes") - 1), lambda t: F.coalesce(F.try_element_at(pairs, t), F.lit(0).cast("long")))
+
+    leads = F.expr(f"transform(codes, c -> shiftright(c, {CODE} - bits))")
+    full = cut(full.join(held, "node", "left").select("node", "n", "v", leads.alias("runs"), by_turn("after").alias("after"), by_turn("before").alias("before")))
+    tasks = placed.join(full, "node").select("task", "turn", "side", "border", "node", "n", "v", "runs", "after", "before")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _groups(batches, "task"):
@@ -168,7 +242,10 @@ def near_duplicates(
                 continue
             column = {n: part.column(n).combine_chunks() for n in part.column_names}
             node, weight, turn = column["node"].to_numpy(), column["n"].to_numpy(), int(column["turn"][0].as_py())
-            earlier = column["codes"].flatten().to_numpy().reshape(len(node), -1)
+            side = column["side"].to_numpy()
+            if column["border"][0].as_py() and side.min() == side.max():
+                continue
+            met = [column[k].flatten().to_numpy().reshape(len(node), -1) for k in ("runs", "after", "before")]
             links = np.zeros(len(node), np.int64)
 
             def counted(pairs, links=links, weight=weight):
@@ -177,7 +254,7 @@ def near_duplicates(
                     np.add.at(links, j, weight[i])
                     yield i, j
 
-            root = roots(len(node), counted(_compared(_unit(column["v"]), column["side"].to_numpy(), earlier, turn, threshold)))
+            root = roots(len(node), counted(_compared(_unit(column["v"]), side, *met, turn, threshold)))
             hit = np.flatnonzero(links)
             if len(hit):
                 yield pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array(links[hit]), pa.array(node[root[hit]])], names=["node", "links", "root"])

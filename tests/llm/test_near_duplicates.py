@@ -143,6 +143,24 @@ def test_embeddings_against_brute_force(spark):
     assert embedding_dedup.near_duplicates(frame.where("false")).count() == 0
 
 
+def test_windows_cross_code_borders(spark):
+    angle = np.random.default_rng(8).uniform(0, 2 * np.pi, 600)
+    vectors = np.stack((np.cos(angle), np.sin(angle)), axis=1)
+    frame = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int")
+    linked = vectors @ vectors.T >= embedding_dedup.THRESHOLD
+    window, recall = 80, 0.2
+    part, bits, turns = embedding_dedup.shifted(600, embedding_dedup.THRESHOLD, vectors.mean(axis=0), (vectors @ vectors.mean(axis=0)).max(), window, recall)
+    assert bits > 0
+    same = np.zeros((600, 600), bool)
+    for turn in range(turns):
+        planes = np.random.default_rng([embedding_dedup.SEED, 2, turn]).standard_normal((2, embedding_dedup.CODE))[:, :bits]
+        signs = (vectors - part * vectors.mean(axis=0)) @ planes >= 0
+        same |= (signs[:, None] == signs[None]).all(axis=2)
+    in_runs = (linked & same).sum() - 600
+    found = sum(r["n_links"] for r in embedding_dedup.near_duplicates(frame, window=window, recall=recall).collect())
+    assert in_runs < found <= linked.sum() - 600  # each pair once, some over borders
+
+
 def test_op7(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
     assert sorted(tuple(r) for r in queries.op7_embedding_dedup(spark, SF).collect()) == plain_embeddings(rows)
