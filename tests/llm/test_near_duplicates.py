@@ -143,6 +143,34 @@ def test_embeddings_against_brute_force(spark):
     assert embedding_dedup.near_duplicates(frame.where("false")).count() == 0
 
 
+def skewed(seed=7, pairs=1500, dims=32, cosine=0.932):
+    """Pairs just above the threshold: half of them in a tight label, in a cone, the others all around."""
+    rng = np.random.default_rng(seed)
+    unit = lambda x: x / np.linalg.norm(x)
+    axis = unit(rng.standard_normal(dims))
+    rows = []
+    for k in range(2 * pairs):
+        hot = k % 2 == 0
+        x = unit((2.0 * axis if hot else 0) + unit(rng.standard_normal(dims)))
+        y = unit(rng.standard_normal(dims))
+        y = cosine * x + np.sqrt(1 - cosine**2) * unit(y - (y @ x) * x)
+        rows += [(2 * k, x.tolist(), int(not hot)), (2 * k + 1, y.tolist(), int(not hot))]
+    return rows
+
+
+def test_embeddings_of_a_tight_label_beside_others(spark):
+    rows = skewed()
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    expected = plain_embeddings(rows)
+    assert embedding_dedup.wanted_bits(3000, 32) > 0
+    got = sorted(tuple(r) for r in embedding_dedup.near_duplicates(frame, window=32).collect())
+    assert all(g[1] <= e[1] for g, e in zip(got, expected, strict=True))
+    for label in (0, 1):
+        ids = {r[0] for r in rows if r[2] == label}
+        found, all_ = (sum(r[1] for r in x if r[0] in ids) for x in (got, expected))
+        assert found >= 0.998 * all_
+
+
 def test_windows_cross_code_borders(spark):
     angle = np.random.default_rng(8).uniform(0, 2 * np.pi, 600)
     vectors = np.stack((np.cos(angle), np.sin(angle)), axis=1)
