@@ -1,6 +1,7 @@
 """Language identification by a linear-chain conditional random field over words.
 
-Each line is a chain of words (runs of letters, in lower case). A word's emission scores sum learned
+Each line is a chain of words (runs of letters, in lower case; a run of over ``WORD_CHARS`` letters,
+as in text without spaces, is cut into words of that length). A word's emission scores sum learned
 weights of its affixes, its character n-grams and, for words frequent enough in the sample, the word
 itself (the lexicon); transitions between the languages of neighbouring words are learned with them,
 so that code-switched text is labelled word by word. Training maximises the conditional likelihood
@@ -32,6 +33,7 @@ from tempora.llm.word_table import WordTable, character_classes
 
 SAMPLE_DOCS = 200
 SAMPLE_CHARS = 5_000
+WORD_CHARS = 40
 SPACE_BITS = 16
 LEXICON_MIN = 3
 ROUNDS = 50
@@ -40,7 +42,7 @@ UNKNOWN = "und"
 
 def word_features(word: str, lexicon: frozenset[str] | None) -> list[int]:
     """Hashed features of a word: affixes, n-grams and the lexicon entry."""
-    shown = f"^{word[:40]}$"  # of a run of letters longer than any word, the beginning
+    shown = f"^{word}$"
     grams = [shown[i : i + n] for n in (1, 2, 3) for i in range(len(shown) - n + 1)]
     grams += ["<" + shown[1:k] for k in (4, 5)] + [">" + shown[-k:-1] for k in (4, 5)]
     if lexicon is not None and word in lexicon:
@@ -103,7 +105,7 @@ def train(texts: list[str], labels: list[str], rounds: int = ROUNDS) -> Language
     if not names:
         return LanguageModel([], np.zeros((1 << SPACE_BITS, 0)), np.zeros((0, 0)), np.zeros(0), frozenset())
     words: list[str] = []
-    splitter = WordTable(character_classes(), words.extend, None, limit=sum(map(len, texts)) // 7 + 1000)
+    splitter = WordTable(character_classes(), words.extend, None, limit=sum(map(len, texts)) // 7 + 1000, most=WORD_CHARS)
     numbers, lines, truth = [], [np.zeros(1, np.int64)], []
     done = 0
     label_of = np.array([names.index(x) for x in labels], np.int64)
@@ -159,7 +161,7 @@ class Predictor:
 
     def __init__(self, model: LanguageModel):
         self.model, self.scores, self.n = model, np.zeros((1 << 12, max(1, len(model.labels)))), 0
-        self.table = WordTable(character_classes(), self._learn, self._forget)
+        self.table = WordTable(character_classes(), self._learn, self._forget, most=WORD_CHARS)
 
     def _learn(self, words: list[str]) -> None:
         for k in range(0, len(words), 20_000):

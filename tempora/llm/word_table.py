@@ -41,10 +41,13 @@ def character_classes(white_space: str | None = None) -> np.ndarray:
 
 
 class WordTable:
-    """``forget`` is called when the table is emptied; without it the table never is, and ``limit`` must hold a quarter of the words."""
+    """``forget`` is called when the table is emptied; without it the table never is, and ``limit`` must hold a quarter of the words.
 
-    def __init__(self, classes: np.ndarray, learn: Callable[[list[str]], None], forget: Callable[[], None] | None, contractions: bool = False, limit: int = LIMIT):
-        self.classes, self.learn, self.forget, self.contractions, self.limit = classes, learn, forget, contractions, limit
+    Words of over ``most`` characters are cut into words of that length.
+    """
+
+    def __init__(self, classes: np.ndarray, learn: Callable[[list[str]], None], forget: Callable[[], None] | None, contractions: bool = False, limit: int = LIMIT, most: int | None = None):
+        self.classes, self.learn, self.forget, self.contractions, self.limit, self.most = classes, learn, forget, contractions, limit, most
         with np.errstate(over="ignore"):
             self.values = _mix(np.arange(1, 0x110001, dtype=np.uint64) * np.uint64(_ODD))
         self.slots = 1 << (4 * limit - 1).bit_length()
@@ -87,6 +90,11 @@ class WordTable:
         if len(gap) and len(starts):
             at = np.searchsorted(gap, starts)
             ends = np.minimum(ends, np.where(at < len(gap), gap[np.minimum(at, len(gap) - 1)], len(chars)))
+        if self.most and len(starts) and (ends - starts > self.most).any():
+            parts = -(-(ends - starts) // self.most)
+            place = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+            starts, ends = np.repeat(starts, parts) + place * self.most, np.repeat(ends, parts)
+            ends = np.minimum(ends, starts + self.most)
         return starts, ends
 
     def numbered(self, chars: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -51,6 +51,17 @@ def test_code_switched_words_are_labelled_by_word():
     assert [x[0] for x in langid.Predictor(model).predict([long, None, "12 !", ""])] == ["xa", "und", "und", "und"]
 
 
+def test_long_runs_of_letters_count_whole():
+    rng = random.Random(4)
+    texts = [("".join(rng.choices(WORDS[l], k=60)), l) for l in WORDS for _ in range(20)]
+    model = langid.train([t for t, _ in texts], [l for _, l in texts])
+    mixed = "".join(["kolot"] * 8 + ["blüen"] * 200)  # the first 40 letters are xa
+    (lang, score), = langid.Predictor(model).predict([mixed])
+    assert lang == "xb" and 0.9 < score < 1
+    marginal, begins = next(langid.Predictor(model).words([mixed, "a" * 81, "b" * 40]))
+    assert begins.tolist() == [0, 26, 29, 30] and len(marginal) == 30
+
+
 def test_language_odd_rows(spark):
     from pyspark.sql import functions as F
 
