@@ -3,7 +3,8 @@
 P(grade >= k) = sigmoid(w.x - t_k) with one weight vector for all ordered thresholds t_1 < t_2 < ...;
 the output is the expected severity, the sum over k of P(grade >= k). Features are sparse: log(1 +
 count) of the words, and beginnings of words, that stand out in toxic documents of the sample (a
-z-score of the log odds ratio). Labels say only toxic or not; toxic sample documents are graded
+likelihood-ratio test and the log odds ratio; a feature that no clean document has is tested like any
+other). Runs of over ``WORD_CHARS`` letters, as in text without spaces, give their n-grams throughout. Labels say only toxic or not; toxic sample documents are graded
 1..``GRADES`` by how many of their words have such a feature.
 
 The sample is at most ``SAMPLE_DOCS`` labelled documents of either kind, those of smallest hash, of
@@ -32,9 +33,10 @@ from tempora.llm.word_table import WordTable, character_classes
 
 SAMPLE_DOCS = 1000
 SAMPLE_CHARS = 20_000
+WORD_CHARS = 40
 GRADES = 3
 MIN_TOXIC_DOCS = 5
-MIN_Z = 3.5
+MIN_G = 10.83
 MIN_LOG_ODDS = 2.0
 DECAY = 1e-4
 MAX_FEATURES = 3000
@@ -44,8 +46,10 @@ TOXIC_AT = 0.5
 
 
 def word_features(word: str) -> list[str]:
-    """The word, and its beginnings of 4 to 6 letters."""
-    return ["=" + word[:60], *(word[:n] for n in range(4, 7) if len(word) >= n)]
+    """The word, and its beginnings of 4 to 6 letters; of a run longer than any word, each different n-gram of those lengths."""
+    if len(word) > WORD_CHARS:
+        return list(dict.fromkeys(word[i : i + n] for n in range(4, 7) for i in range(len(word) - n + 1)))
+    return ["=" + word, *(word[:n] for n in range(4, 7) if len(word) >= n)]
 
 
 @dataclass
@@ -120,6 +124,15 @@ def _distinct(texts: list[str]) -> list[int]:
     return kept
 
 
+def likelihood_ratio(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """G of the table of documents with and without a feature, toxic (``a`` of ``n1``) and not (``b`` of ``n0``)."""
+    share = (a + b) / (n1 + n0)
+    out = np.zeros(len(a))
+    for seen, expected in ((a, n1 * share), (n1 - a, n1 * (1 - share)), (b, n0 * share), (n0 - b, n0 * (1 - share))):
+        out += 2 * seen * np.log(np.where(seen > 0, seen, 1) / np.where(seen > 0, expected, 1))
+    return out
+
+
 def train(texts: list[str], toxic: list[int], grades: int = GRADES, rounds: int = ROUNDS) -> ToxicityModel:
     none = ToxicityModel({}, np.zeros(0), np.zeros(0))
     kept = _distinct(texts)
@@ -156,16 +169,16 @@ def train(texts: list[str], toxic: list[int], grades: int = GRADES, rounds: int
     b, a = frequency[:, : len(everything)]
     # longer documents have more of every word; a large ratio, not only a sure one, is asked for
     odds = np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((b + 0.5) / (n0 - b + 0.5))
-    z = odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-    chosen = np.flatnonzero((a >= MIN_TOXIC_DOCS) & (z >= MIN_Z) & (odds >= MIN_LOG_ODDS))
+    g = likelihood_ratio(a, b, n1, n0)
+    chosen = np.flatnonzero((a >= MIN_TOXIC_DOCS) & (g >= MIN_G) & (odds >= MIN_LOG_ODDS))
     names = list(everything)
-    # of the beginnings of one stem, which occur in the same documents, the longest stands for all
-    stems: dict[tuple, int] = {}
+    # of the beginnings of one word that occur in the same documents, the longest stands for all
+    covered = set()
     for f in chosen.tolist():
-        same = (a[f], b[f], names[f].lstrip("=")[:3])
-        if same not in stems or len(names[f]) > len(names[stems[same]]):
-            stems[same] = f
-    chosen = np.array(sorted(stems.values(), key=lambda f: -z[f])[:MAX_FEATURES], np.int64)
+        stem = names[f].lstrip("=")
+        covered |= {(a[f], b[f], stem[:n]) for n in range(4, 7) if n < len(stem) or n == len(stem) and names[f] != stem}
+    chosen = [f for f in chosen.tolist() if (a[f], b[f], names[f]) not in covered]
+    chosen = np.array(sorted(chosen, key=lambda f: -g[f])[:MAX_FEATURES], np.int64)
     if not len(chosen):
         return none
     features = {names[f]: k for k, f in enumerate(chosen.tolist())}

@@ -107,6 +107,29 @@ def test_severity_is_ordinal():
     assert few < many <= toxicity.GRADES
 
 
+def test_rare_toxic_words_without_clean_documents_are_features():
+    rng = random.Random(6)
+    common = ["".join(rng.choices("abcdefghij", k=7)) for _ in range(300)]
+    text = lambda *more: " ".join([*rng.sample(common, 30), *more])
+    bad = ["vile" + "qwrtz"[k] for k in range(5)]
+    rare = ["zuv" + c * 4 for c in "klmnpqrs"]
+    docs = [(text(bad[k % 5]), 1) for k in range(300)]
+    docs += [(text(w), 1) for w in rare for _ in range(12)]  # each in 3% of the toxic documents
+    docs += [(text(), 0) for _ in range(400)]
+    model = toxicity.train([t for t, _ in docs], [y for _, y in docs])
+    p = model.at_least(model.scores([text(w) for w in rare] + [text() for _ in range(8)], toxicity.Counter(model.features)))[:, 0]
+    assert (p[:8] >= toxicity.TOXIC_AT).all() and (p[8:] < toxicity.TOXIC_AT).all()
+
+
+def test_toxic_words_inside_runs_of_letters():
+    rng = random.Random(7)
+    run = lambda bad: "".join([*rng.choices("abcdefghij", k=80), bad, *rng.choices("abcdefghij", k=30)])
+    docs = [(run("xyzwvut"), 1) for _ in range(100)] + [(run(""), 0) for _ in range(200)]
+    model = toxicity.train([t for t, _ in docs], [y for _, y in docs])
+    p = model.at_least(model.scores([run("xyzwvut"), run("")], toxicity.Counter(model.features)))[:, 0]
+    assert p[0] >= toxicity.TOXIC_AT > p[1]
+
+
 def test_toxicity_odd_rows(spark):
     docs = toxic_docs(200)
     texts = [*[t for t, _ in docs], *ODD, "clean " * 5000 + "nastyone vileword"]
