@@ -6,11 +6,11 @@ and a paragraph is inserted or deleted by adding or subtracting its vector. The
 
 * ``EXACT`` coordinates modulo 2**32, hashed from the whole paragraph: equal sums mean equal
   multisets of paragraphs;
-* ``SKETCH`` coordinates modulo 2**16: the sum of a +1/-1 vector for each piece (sentence, of at most
+* ``SKETCH`` coordinates modulo 2**32: the sum of a +1/-1 vector for each piece (sentence, of at most
   ``PIECE`` characters) of the paragraph. The inner product of two such sums estimates how many
   pieces two documents share, with a standard error of about 1/sqrt(SKETCH), so the likeness
-  2<a,b> / (<a,a> + <b,b>), held to 0..1, comes from fingerprints alone. It holds for documents in
-  which no piece occurs over 2**15 times.
+  2<a,b> / (<a,a> + <b,b>), held to 0..1, comes from fingerprints alone. A coordinate is read
+  as signed, so it holds up to 2**31 pieces a document, more than a text can have.
 
 Defined cases: a null text is an empty text, which has one empty paragraph; likeness of equal
 fingerprints is 1; with repeated ids the order is by id and then text; a null id sorts first; an
@@ -41,7 +41,7 @@ class MultisetHash:
     __slots__ = ("exact", "sketch")
 
     def __init__(self, paragraphs: list[str] | None = None):
-        self.exact, self.sketch = np.zeros(EXACT, "<u4"), np.zeros(SKETCH, "<u2")
+        self.exact, self.sketch = np.zeros(EXACT, "<u4"), np.zeros(SKETCH, "<u4")
         if paragraphs:
             self.add(paragraphs)
 
@@ -59,7 +59,7 @@ class MultisetHash:
             raw = b"".join([blake2b(x.encode("utf-8", "surrogatepass"), digest_size=SKETCH // 8).digest() for x in part])
             ones = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(len(part), -1), axis=1).sum(axis=0, dtype=np.int64)
             sketch += 2 * ones - len(part)
-        return exact, sketch.astype("<u2")
+        return exact, sketch.astype("<u4")
 
     def add(self, paragraphs: list[str]) -> None:
         exact, sketch = self._sums(paragraphs)
@@ -75,7 +75,7 @@ class MultisetHash:
     @classmethod
     def from_hex(cls, text: str) -> MultisetHash:
         out, raw = cls(), bytes.fromhex(text)
-        out.exact, out.sketch = np.frombuffer(raw[: 4 * EXACT], "<u4"), np.frombuffer(raw[4 * EXACT :], "<u2")
+        out.exact, out.sketch = np.frombuffer(raw[: 4 * EXACT], "<u4"), np.frombuffer(raw[4 * EXACT :], "<u4")
         return out
 
     def __eq__(self, other: object) -> bool:
@@ -86,7 +86,7 @@ class MultisetHash:
     def likeness(self, other: MultisetHash) -> float:
         if self == other:
             return 1.0
-        a, b = self.sketch.view("<i2").astype(np.float64), other.sketch.view("<i2").astype(np.float64)
+        a, b = self.sketch.view("<i4").astype(np.float64), other.sketch.view("<i4").astype(np.float64)
         whole = a @ a + b @ b
         return float(min(1.0, max(0.0, 2.0 * (a @ b) / whole))) if whole else 0.0
 

@@ -81,3 +81,9 @@ def test_licenses_odd_rows(spark):
     labels = {r["doc_id"]: r["labels"] for r in rows}
     assert [labels[len(ODD) + k] for k in range(6)] == ["mit", "gpl,lgpl", "apache", "cc", "mit", ""]
     assert licenses.scan(docs_frame(spark, [])).count() == 0
+
+
+def test_likeness_of_very_often_repeated_pieces():
+    for a, b in ((33_000, 32_700), (65_536, 65_535)):
+        one, other = (fingerprints.MultisetHash(["the same line."] * n) for n in (a, b))
+        assert one.likeness(other) > 0.99
