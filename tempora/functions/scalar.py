@@ -44,9 +44,49 @@ def timestamp_text(text: Column) -> Column:
     return F.substring(F.replace(text, F.lit("T"), F.lit(" ")), 1, 23)
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it stands in the body."""
+    return F.transform(F.array(value), body)[0]
+
+
+def half_even(value: Column, digits: int) -> Column:
+    """A double rounded to ``digits`` places by its exact binary value; exact halves go to the even digit.
+
+    Only where the shortest decimal text ends in a 5 one place further is that text no guide: there the
+    binary fraction decides, taken apart into three pieces of 27 bits.
+    """
+    if digits < 0:
+        return F.bround(value, digits)
+
+    def rounded(x: Column) -> Column:
+        size = F.abs(x)
+        text = size.cast("decimal(38,17)")
+        scaled_ = text * F.lit(10**digits).cast(f"decimal({digits + 1},0)")
+        half = (scaled_ - F.floor(scaled_)) == F.lit("0.5").cast("decimal(2,1)")
+        whole = F.floor(size)
+        fraction = size - whole
+        first = F.floor(fraction * 2.0**27)
+        second = F.floor((fraction * 2.0**27 - first) * 2.0**27)
+        third = (fraction * 2.0**27 - first) * 2.0**27 - second
+        bits = (first * (1 << 27) + second).cast("decimal(17,0)")
+        # fraction and text's fraction, both times 10**(digits + 1) * 2**54
+        ten = F.lit(10 ** (digits + 1)).cast(f"decimal({digits + 2},0)")
+        exact = bits * ten
+        shown = ((text - whole.cast("decimal(20,0)")) * ten).cast("decimal(20,0)") * F.lit(1 << 54).cast("decimal(17,0)")
+        low = (F.floor(scaled_) / F.lit(10**digits).cast(f"decimal({digits + 1},0)")).cast("double")
+        high = ((F.floor(scaled_) + 1) / F.lit(10**digits).cast(f"decimal({digits + 1},0)")).cast("double")
+        tie = F.when((exact == shown) & (third == 0), F.bround(size, digits)).when(exact < shown, low).otherwise(high)
+        return F.when(half, F.when(x < 0, -tie).otherwise(tie)).otherwise(F.bround(x, digits))
+
+    plain = F.abs(value) < 1e15
+    return F.when(plain & F.lit(digits <= 12), bound(F.when(plain, value), rounded)).otherwise(F.when(F.isnan(value) | (F.abs(value) == float("inf")), value).otherwise(F.bround(value, digits)))
+
+
 def json_round(value: Column, digits: int, kind: T.DataType) -> Column:
-    """Half-even rounding of doubles inside arrays, maps and structs; everything else passes."""
-    if isinstance(kind, T.DoubleType | T.FloatType | T.DecimalType):
+    """Rounding of doubles by their exact value inside arrays, maps and structs; everything else passes."""
+    if isinstance(kind, T.DoubleType):
+        return half_even(value, digits)
+    if isinstance(kind, T.FloatType | T.DecimalType):
         return F.bround(value, digits)
     if isinstance(kind, T.ArrayType):
         return F.transform(value, lambda x: json_round(x, digits, kind.elementType))
@@ -59,10 +99,11 @@ def json_round(value: Column, digits: int, kind: T.DataType) -> Column:
 
 
 def softmax(scores: Column) -> Column:
-    """Of an array of doubles; the largest score is taken off first."""
-    weights = F.transform(scores, lambda x: F.exp(x - F.array_max(scores)))
-    total = F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(weights, lambda x: x / total)
+    """Of an array of doubles; the largest score is taken off first. The largest and the sum are computed once."""
+    both = F.struct(scores.alias("x"), F.array_max(scores).alias("top"))
+    weights = bound(both, lambda s: F.transform(s["x"], lambda x: F.exp(x - s["top"])))
+    summed = bound(weights, lambda w: F.struct(w.alias("w"), F.aggregate(w, F.lit(0.0), lambda a, x: a + x).alias("total")))
+    return bound(summed, lambda s: F.transform(s["w"], lambda x: x / s["total"]))
 
 
 def scaled(vector: Column, width: int) -> Column:
@@ -133,23 +174,56 @@ def kind_of(value: Column) -> Column:
     )
 
 
-def value_key(value: Column) -> Column:
-    """Text that is equal for VARIANTs that compare as equal: 1 = 1.0 = true, null = null, '1' is other."""
+def value_key(value: Column, nested: bool = False) -> Column:
+    """Text that is equal for VARIANTs that compare as equal: 1 = 1.0 = true, null = null, '1' is other.
+
+    Arrays and objects raise; with ``nested`` they compare by their text.
+    """
     kind = kind_of(value)
     number = F.when(kind == "b", F.try_variant_get(value, "$", "boolean").cast("double")).otherwise(F.try_variant_get(value, "$", "double"))
+    json = F.concat(F.lit("j:"), F.to_json(value)) if nested else F.raise_error(F.lit("a foreign key can't be an array or an object")).cast("string")
     return (
         F.when(kind == "z", "z")
         .when(kind == "s", F.concat(F.lit("s:"), F.try_variant_get(value, "$", "string")))
-        .when(kind == "j", F.raise_error(F.lit("a foreign key can't be an array or an object")).cast("string"))
+        .when(kind == "j", json)
         .otherwise(F.concat(F.lit("n:"), number.cast("string")))
     )
 
 
+def float_text(number: Column) -> Column:
+    """A double's shortest text that reads back as it: with a point, or an exponent of two digits below 1e-4 and from 1e16.
+
+    Where two texts of that length do, the last digit may be either one's.
+    """
+
+    def shown(text: Column) -> Column:
+        mantissa, power = F.split_part(text, F.lit("e"), F.lit(1)), F.split_part(text, F.lit("e"), F.lit(2)).cast("int")
+        digits = F.regexp_replace(F.replace(mantissa, F.lit("."), F.lit("")), "(?<=.)0+$", "")
+        size, far = F.length(digits), F.abs(power).cast("string")
+        rest = F.when(size > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2)))).otherwise("")
+        wide = F.concat(F.substr(digits, F.lit(1), F.lit(1)), rest, F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(far, F.greatest(F.lit(2), F.length(far)), F.lit("0")))
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+        filled = F.rpad(digits, F.greatest(power + 1, size), F.lit("0"))
+        large = F.concat(F.substr(filled, F.lit(1), power + 1), F.lit("."), F.coalesce(F.nullif(F.substr(filled, power + 2), F.lit("")), F.lit("0")))
+        return F.when((power < -4) | (power >= 16), wide).when(power < 0, small).otherwise(large)
+
+    def shortest(x: Column) -> Column:
+        # of 15, 16 and 17 digits the first that reads back as the same number
+        texts = [F.format_string(f"%.{n}e", x) for n in (14, 15, 16)]
+        return F.when(texts[0].cast("double") == x, texts[0]).when(texts[1].cast("double") == x, texts[1]).otherwise(texts[2])
+
+    sign = F.when(number < 0, "-").otherwise("")
+    plain = bound(bound(F.abs(number), shortest), shown)
+    return F.when(F.isnan(number), "nan").when(F.abs(number) == float("inf"), F.concat(sign, F.lit("inf"))).otherwise(F.concat(sign, plain))
+
+
 def value_text(value: Column) -> Column:
-    """A VARIANT as a scripting language prints it: None, True, False, text as it is."""
+    """A VARIANT as a scripting language prints it: None, True, False, 1, 1.0, 1e+20, text as it is; arrays and objects as JSON."""
     kind = kind_of(value)
+    whole = F.schema_of_variant(value).isin("TINYINT", "SMALLINT", "INT", "BIGINT")
     return (
         F.when(kind == "z", "None")
         .when(kind == "b", F.initcap(F.try_variant_get(value, "$", "string")))
+        .when((kind == "n") & ~whole, float_text(F.try_variant_get(value, "$", "double")))
         .otherwise(F.try_variant_get(value, "$", "string"))
     )

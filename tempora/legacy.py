@@ -7,13 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tempora.operators.partition import running
+
 
 def ecdf(rows: DataFrame) -> DataFrame:
-    """(key, value, n, share, prob): the distribution function of each key's values, one row a value."""
+    """(key, value, n, share, prob): the distribution function of each key's values, one row a value.
+
+    Values are counted first and summed up over ranges of values, so no key is in one task.
+    """
     counts = rows.where("value is not null").groupBy("key", "value").agg(F.count("*").alias("n"))
-    whole, upto = Window.partitionBy("key"), Window.partitionBy("key").orderBy("value")
-    total = F.sum("n").over(whole)
-    return counts.select("key", "value", "n", (F.col("n") / total).alias("share"), (F.sum("n").over(upto) / total).alias("prob"))
+    total = counts.groupBy(F.col("key").alias("whole")).agg(F.sum("n").alias("total"))
+    out = running(counts, ["key"], "value", upto="n").join(total, F.col("key").eqNullSafe(F.col("whole")))
+    return out.select("key", "value", "n", (F.col("n") / F.col("total")).alias("share"), (F.col("upto") / F.col("total")).alias("prob"))
 
 
 def binned_ecdf(rows: DataFrame, num_bins: int) -> DataFrame:
@@ -23,11 +28,19 @@ def binned_ecdf(rows: DataFrame, num_bins: int) -> DataFrame:
 
 
 def prob_scale(rows: DataFrame, table: DataFrame) -> DataFrame:
-    """``rows`` with ``scaled``, the distribution function at their value: an as-of lookup by one window over both."""
-    marks = table.select("key", "value", F.col("prob").alias("__prob"))
-    both = rows.withColumn("__row", F.lit(True)).unionByName(marks, allowMissingColumns=True)
-    upto = Window.partitionBy("key").orderBy("value").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn("scaled", F.coalesce(F.max("__prob").over(upto), F.lit(0.0))).where("__row").drop("__row", "__prob")
+    """``rows`` with ``scaled``, the distribution function at their value.
+
+    An as-of lookup: the table's steps and the rows are sorted together by ranges, and the steps up to
+    each different value are summed.
+    """
+    steps = table.select("key", "value", F.col("n").cast("long").alias("n"))
+    probes = rows.select("key", "value").distinct().withColumn("n", F.lit(0).cast("long"))
+    both = steps.unionByName(probes).groupBy("key", "value").agg(F.sum("n").alias("n"))
+    total = table.groupBy(F.col("key").alias("whole")).agg(F.sum("n").alias("total"))
+    at = running(both, ["key"], "value", upto="n").join(total, F.col("key").eqNullSafe(F.col("whole")))
+    at = at.select(F.col("key").alias("k"), F.col("value").alias("v"), (F.col("upto") / F.col("total")).alias("scaled"))
+    out = rows.join(at, F.col("key").eqNullSafe(F.col("k")) & F.col("value").eqNullSafe(F.col("v")), "left")
+    return out.drop("k", "v").withColumn("scaled", F.when(F.col("value").isNotNull(), F.coalesce("scaled", F.lit(0.0))))
 
 
 def minmax_scale(rows: DataFrame) -> DataFrame:
@@ -56,18 +69,25 @@ def sequence_edges(rows: DataFrame, group: Sequence[str], order: str, node: str,
 
 
 def json_tree(rows: DataFrame, key: str, column: str, depth: int = 8) -> DataFrame:
-    """(key, path, name, value): the nodes of a JSON tree; elements of a list called x are x_item.
+    """(key, path, name, value, cut): the nodes of a JSON tree; elements of a list called x are x_item.
 
-    One explode a level, for at most ``depth`` levels.
+    One explode a level, for at most ``depth`` levels; ``cut`` marks nodes whose children lie deeper.
     """
     level = rows.select(key, F.lit("$").alias("path"), F.lit("root").alias("name"), F.try_parse_json(column).alias("value")).where("value is not null")
-    out = level
+    levels = [level]
+    child = lambda path, name, value: F.struct(path.alias("path"), name.alias("name"), value.alias("value"))
     for _ in range(depth):
         kind = F.schema_of_variant("value")
-        maps = level.where(kind.startswith("OBJECT")).select(key, "path", F.explode(F.try_variant_get("value", "$", "map<string,variant>")).alias("k", "value"))
-        maps = maps.select(key, F.concat("path", F.lit("."), "k").alias("path"), F.col("k").alias("name"), "value")
-        lists = level.where(kind.startswith("ARRAY")).select(key, "path", "name", F.posexplode(F.try_variant_get("value", "$", "array<variant>")).alias("i", "value"))
-        lists = lists.select(key, F.concat("path", F.lit("["), F.col("i").cast("string"), F.lit("]")).alias("path"), F.concat("name", F.lit("_item")).alias("name"), "value")
-        level = maps.unionByName(lists)
-        out = out.unionByName(level)
+        members = F.map_entries(F.try_variant_get("value", "$", "map<string,variant>"))
+        members = F.transform(members, lambda e: child(F.concat("path", F.lit("."), e["key"]), e["key"], e["value"]))
+        elements = F.try_variant_get("value", "$", "array<variant>")
+        elements = F.transform(elements, lambda x, i: child(F.concat("path", F.lit("["), i.cast("string"), F.lit("]")), F.concat("name", F.lit("_item")), x))
+        below = F.when(kind.startswith("OBJECT"), members).when(kind.startswith("ARRAY"), elements)
+        level = level.select(key, F.explode(below).alias("c")).select(key, "c.path", "c.name", "c.value")
+        levels.append(level)
+    deep = F.schema_of_variant("value")
+    cut = (deep.startswith("OBJECT<") & (deep != "OBJECT<>")) | (deep.startswith("ARRAY<") & (deep != "ARRAY<VOID>"))
+    out = levels[-1].withColumn("cut", cut)
+    for level in reversed(levels[:-1]):
+        out = level.withColumn("cut", F.lit(False)).unionByName(out)
     return out

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.operators import causal, encode, ingest, survival
+from tempora.operators import causal, encode, ingest, partition, survival
 from tempora.spec import EventSpec
+from tempora.storage import cut
 
 
 @dataclass(frozen=True)
@@ -52,19 +54,37 @@ class EventGraph:
     def features(self) -> DataFrame:
         return survival.edge_features(self.nodes, self.causal)
 
+    def stats(self) -> DataFrame:
+        """One row: nodes, causal_edges (parallel ones count) and types."""
+        nodes = self.nodes.agg(F.count("*").alias("nodes"), F.count_distinct("event_type").alias("types"))
+        return nodes.join(self.causal.agg(F.sum("multiplicity").alias("causal_edges"))).select("nodes", "causal_edges", "types")
+
+    def event_lists(self) -> DataFrame:
+        """(node_id, ids): each event's rows of the lookup table, filled up with -1, then the class token's row (of ``tokens``)."""
+        last = self.lookup.where("key is null").head()["attr_id"] if self.variant == "tokens" else None
+        return encode.id_lists(self.attr_edges, last=last)
+
     def sample_subgraph(self, ids: DataFrame, relabel: bool = False) -> EventGraph:
-        """The part of the samples in ``ids`` (sample_key): nodes, edges among them, attributes they use."""
-        nodes = self.nodes.join(ids.select("sample_key").distinct(), "sample_key", "left_semi")
-        keep = nodes.select("node_id")
-        causal_, survival_ = (induced(e, keep) for e in (self.causal, self.survival))
-        edges = self.attr_edges.join(keep, "node_id", "left_semi") if self.attr_edges is not None else None
-        lookup = self.lookup.join(edges.select("attr_id").distinct(), "attr_id", "left_semi") if edges is not None and self.lookup is not None else self.lookup
+        """The part of the samples in ``ids`` (sample_key): nodes, edges among them, attributes they use.
+
+        Edges don't leave a sample, so all tables are cut by their own ``sample_key``.
+        """
+        keep = ids.select("sample_key").distinct()
+        nodes, causal_, survival_ = (t.join(keep, "sample_key", "left_semi") for t in (self.nodes, self.causal, self.survival))
+        edges, lookup = self.attr_edges, self.lookup
+        if edges is not None:
+            edges = edges.join(keep, "sample_key", "left_semi")
+        if edges is not None and lookup is not None:
+            used = edges.select("attr_id").distinct()
+            own = lookup.where("key is null") if self.variant == "tokens" else None
+            lookup = lookup.join(used, "attr_id", "left_semi")
+            lookup = lookup.unionByName(own) if own is not None else lookup
         out = replace(self, nodes=nodes, causal=causal_, survival=survival_, lookup=lookup, attr_edges=edges)
         return relabelled(out) if relabel else out
 
 
 def induced(edges: DataFrame, keep: DataFrame) -> DataFrame:
-    """Edges both ends of which are kept."""
+    """Edges both ends of which are kept, whatever samples they are of."""
     out = edges.join(keep.withColumnRenamed("node_id", "u"), "u", "left_semi")
     return out.join(keep.withColumnRenamed("node_id", "v"), "v", "left_semi")
 
@@ -91,21 +111,29 @@ def attribute_neighbours(attr_edges: DataFrame, events: DataFrame, cls_id: int)
 
 
 class GraphBuilder:
-    """Builds graphs from sample tables. ``variant``: raw attributes, attribute nodes (attrs) or tokens."""
+    """Builds graphs from sample tables. ``variant``: raw attributes, attribute nodes (attrs) or token sequences (tokens).
 
-    def __init__(self, spec: EventSpec, variant: str = "raw", form: str = "count"):
+    ``tokens`` takes its ids from ``dictionary`` (the seed's by default; see ``encode.gen_dictionary``).
+    """
+
+    def __init__(self, spec: EventSpec, variant: str = "raw", form: str = "count", dictionary: DataFrame | None = None, tokenize: encode.Tokenize = encode.scalar.tokenize):
         if variant not in ("raw", "attrs", "tokens"):
             raise ValueError("variant is one of raw, attrs, tokens")
-        self.spec, self.variant, self.form = spec, variant, form
+        self.spec, self.variant, self.form, self.dictionary, self.tokenize = spec, variant, form, dictionary, tokenize
 
     def __call__(self, df: DataFrame, sample_key: str = "sample_key") -> EventGraph:
-        nodes = ingest.build_nodes(df, self.spec, sample_key)
+        nodes = cut(ingest.build_nodes(df, self.spec, sample_key))
         keyed = causal.foreign_keys(nodes) if self.spec.foreign_keys else None
-        edges = causal.causal_edges(nodes, self.spec.degree, keyed, self.form)
+        edges = causal.causal_edges(nodes, self.spec.degree, keyed, self.form, causal.slice_width(nodes) if self.form == "count" else None)
         graph = EventGraph(nodes, edges, causal.simplified(survival.survival_edges(nodes)), self.variant)
         if self.variant == "raw":
             return graph
-        items = encode.entries(nodes).withColumn("value", F.when(F.col("pos") > 0, encode.scalar.value_text(F.col("value"))))
+        items = encode.entries(nodes)
+        if self.variant == "tokens":
+            dictionary = self.dictionary if self.dictionary is not None else encode.seed_dictionary(df.sparkSession)
+            lookup = cut(encode.token_lookup(items, dictionary, self.tokenize))
+            return replace(graph, lookup=lookup, attr_edges=encode.token_edges(items, lookup))
+        items = items.withColumn("value", F.when(F.col("pos") > 0, encode.scalar.value_text(F.col("value"))))
         lookup = encode.attribute_lookup(items, "node_id")
         return replace(graph, lookup=lookup, attr_edges=encode.attribute_edges(items, lookup))
 
@@ -113,3 +141,12 @@ class GraphBuilder:
         """The graph, and the samples without event columns but with targets."""
         df = df.transform(pre) if pre else df
         return self(df, sample_key), ingest.targets(df, self.spec)
+
+    def generator(self, df: DataFrame, chunksize: int, *order: str, sample_key: str = "sample_key", pre=None, max_batch: int | None = None) -> Iterator[tuple[EventGraph, DataFrame]]:
+        """(graph, samples) of one chunk of ``chunksize`` samples after the other, at most ``max_batch``; a chunk's job reads no other chunk."""
+        rows = cut(partition.chunked(df, chunksize, *(order or (sample_key,))).drop("row_id"), folders="chunk")
+        last = rows.agg(F.max("chunk")).head()[0]
+        for number in range(0 if last is None else last + 1):
+            if max_batch is not None and number >= max_batch:
+                break
+            yield self.generate(rows.where(F.col("chunk") == number).drop("chunk"), sample_key, pre)

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tempora.functions import scalar
+from tempora.operators.partition import numbered_rows
 from tempora.spec import EventSpec
+from tempora.storage import unused
 
 
 def point_in_time(samples: DataFrame, data: DataFrame, keys: Sequence[str], sample_ts: str, data_ts: str, columns: Sequence[str], name: str, as_json: bool = True) -> DataFrame:
@@ -96,36 +98,20 @@ def event_order(*ties: str) -> list[Column]:
 
 
 def place_in_sample(events: DataFrame, *ties: str) -> DataFrame:
-    """``place``: 0, 1, ... in each sample's event order."""
-    order = Window.partitionBy("sample_key").orderBy(*event_order(*(ties or ("event_type", "pos"))))
-    return events.withColumn("place", F.row_number().over(order).cast("long") - 1)
+    """``place``: 0, 1, ... in each sample's event order; events without a sample are a sample too."""
+    (number,) = unused(events, "number")
+    rows = with_node_ids(events, *ties, name=number)
+    first = rows.groupBy(F.col("sample_key").alias("key")).agg(F.min(number).alias("first"))
+    rows = rows.join(first, F.col("sample_key").eqNullSafe(F.col("key")))
+    return rows.withColumn("place", F.col(number) - F.col("first")).drop("key", "first", number)
 
 
-def with_node_ids(events: DataFrame, *ties: str) -> DataFrame:
-    """Dense ``node_id`` over all samples: samples by key, events by place.
+def with_node_ids(events: DataFrame, *ties: str, name: str = "node_id") -> DataFrame:
+    """Dense ``name`` over all samples: samples by key (a null one first), events in event order.
 
-    The offset of each sample is summed over sample counts, so that no task sorts all events.
+    The events are sorted by ranges and written once, so neither a large sample nor the sum is in one task.
     """
-    counts = events.groupBy("sample_key").count()
-    offsets = running_offsets(counts, "sample_key", "count")
-    placed = place_in_sample(events, *ties).join(offsets, "sample_key")
-    return placed.withColumn("node_id", F.col("offset") + F.col("place")).drop("offset", "place")
-
-
-def running_offsets(counts: DataFrame, key: str, count: str, buckets: int = 1024) -> DataFrame:
-    """(key, offset): the sum of ``count`` over smaller keys, in two levels of hash-free ranges."""
-    bounds = counts.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).head()
-    lo, hi = bounds["lo"], bounds["hi"]
-    if lo is None or isinstance(lo, str):
-        order = Window.orderBy(key)
-        return counts.select(key, (F.sum(count).over(order) - F.col(count)).alias("offset"))
-    width = max(1, -(-(hi - lo + 1) // buckets))
-    rows = counts.withColumn("bucket", F.floor((F.col(key).cast("double") - float(lo)) / float(width)))  # monotone, and safe for any long
-    sums = rows.groupBy("bucket").agg(F.sum(count).alias("total"))  # at most ``buckets`` rows
-    before = sums.select("bucket", (F.sum("total").over(Window.orderBy("bucket")) - F.col("total")).alias("before"))
-    inside = Window.partitionBy("bucket").orderBy(key)
-    rows = rows.withColumn("inside", F.sum(count).over(inside) - F.col(count)).join(F.broadcast(before), "bucket")
-    return rows.select(key, (F.col("before") + F.col("inside")).alias("offset"))
+    return numbered_rows(events, "sample_key", *event_order(*(ties or ("event_type", "pos"))), name=name)
 
 
 def build_nodes(df: DataFrame, spec: EventSpec, sample_key: str = "sample_key") -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tempora.operators.partition import running
+
 
 def known(value: Column) -> Column:
     """Neither null nor NaN."""
@@ -17,13 +19,18 @@ def known(value: Column) -> Column:
 def ks_score(rows: DataFrame, label: str = "label", score: str = "score", by: tuple[str, ...] = ()) -> DataFrame:
     """max(tpr - fpr) over all score thresholds, labels that are missing left out.
 
-    Scores are counted first, so what is sorted is one row for each different score.
+    Scores are counted first, so what is sorted is one row for each different score; they are summed
+    up over ranges of scores, so no ``by`` is in one task.
     """
-    counts = rows.where(known(F.col(label))).groupBy(*by, score).agg(F.sum((F.col(label) > 0).cast("long")).alias("p"), F.sum((F.col(label) <= 0).cast("long")).alias("n"))
-    down = Window.partitionBy(*by).orderBy(F.desc(score))
-    whole = Window.partitionBy(*by)
-    gap = F.sum("p").over(down) / F.sum("p").over(whole) - F.sum("n").over(down) / F.sum("n").over(whole)
-    return counts.withColumn("gap", gap).groupBy(*by).agg(F.greatest(F.lit(0.0), F.max("gap")).alias("ks"))
+    down = -F.col(score).cast("double")
+    counts = rows.where(known(F.col(label))).groupBy(*by, down.alias("down")).agg(F.sum((F.col(label) > 0).cast("long")).alias("p"), F.sum((F.col(label) <= 0).cast("long")).alias("n"))
+    upto = running(counts, by, "down", tp="p", fp="n")
+    whole = counts.groupBy(*[F.col(b).alias(f"whole_{b}") for b in by]).agg(F.sum("p").alias("ps"), F.sum("n").alias("ns"))
+    match = F.lit(True)
+    for b in by:
+        match &= F.col(b).eqNullSafe(F.col(f"whole_{b}"))
+    gap = F.try_divide("tp", "ps") - F.try_divide("fp", "ns")
+    return upto.join(whole, match).withColumn("gap", gap).groupBy(*by).agg(F.greatest(F.lit(0.0), F.max("gap")).alias("ks"))
 
 
 def unpivot(rows: DataFrame, ids: list[str], labels: Mapping[str, str], scores: Mapping[str, str]) -> DataFrame:
@@ -33,13 +40,19 @@ def unpivot(rows: DataFrame, ids: list[str], labels: Mapping[str, str], scores:
     return rows.select(*ids, F.explode(F.array(*items)).alias("x")).select(*ids, "x.*")
 
 
-def masked_metric(pairs: DataFrame, metric: Callable[[pd.Series, pd.Series], float]) -> DataFrame:
-    """(target, value) of any metric of (label, score) by target; rows without a label are left out first."""
+def masked_metric(pairs: DataFrame, metric: Column | Callable[[pd.Series, pd.Series], float]) -> DataFrame:
+    """(target, value) of any metric of (label, score) by target; rows without a label are left out first.
+
+    ``metric`` is an aggregate column of ``label`` and ``score``, of which parts are combined before the
+    shuffle, or a Python function, which must see all rows of a target at once, in one task.
+    """
+    rows = pairs.where(known(F.col("label"))).select("target", "label", "score")
+    if isinstance(metric, Column):
+        return rows.groupBy("target").agg(metric.cast("double").alias("value"))
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"target": [key[0]], "value": [float(metric(part["label"], part["score"]))]})
 
-    rows = pairs.where(known(F.col("label"))).select("target", "label", "score")
     return rows.groupBy("target").applyInPandas(run, "target string, value double")
 
 
@@ -100,6 +113,12 @@ def first_epoch(history: DataFrame, value: str) -> DataFrame:
     return history.agg(F.min("epoch").alias("epoch"), F.min_by(value, "epoch").alias(value))
 
 
+def pop_epoch(history: DataFrame, value: str) -> tuple[DataFrame, DataFrame]:
+    """The first epoch's value, and the history without that epoch."""
+    first = first_epoch(history, value)
+    return first, history.join(first.select("epoch"), "epoch", "left_anti")
+
+
 def newest_epochs(history: DataFrame, keep: int) -> DataFrame:
     """Rows of the newest ``keep`` epochs; the largest epoch is one number, so nothing is sorted."""
     last = history.agg(F.max("epoch")).head()[0]

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tempora.operators.ingest import running_offsets
+from tempora.storage import cut, unused
 
 
 def partition_index(rows: DataFrame, path: str = "path") -> DataFrame:
@@ -30,13 +30,49 @@ def locate(items: DataFrame, index: DataFrame, item: str = "item", path: str = "
     return rows.where((F.col(item) >= F.col("lb")) & (F.col(item) < F.col("ub"))).withColumn("offset", F.col(item) - F.col("lb")).drop("__block", "lb", "ub")
 
 
-def numbered_rows(rows: DataFrame, *order: str, within: Sequence[str] = ()) -> DataFrame:
-    """``row_id``: 0, 1, ... in ``order`` (inside ``within``), summed over counts by the first order column."""
+def numbered_rows(rows: DataFrame, *order: str | Column, within: Sequence[str] = (), name: str = "row_id") -> DataFrame:
+    """``name``: 0, 1, ... in ``order`` (inside ``within``); nulls come first, and every row gets a number.
+
+    Rows are sorted by ranges of the whole order, whatever its types, and the numbers inside ranges
+    shifted by the sizes of the ranges before: no key's rows have to be in one task. Rows equal in the
+    order are spread by a hash of their other columns.
+    """
     if within:
-        return rows.withColumn("row_id", F.row_number().over(Window.partitionBy(*within).orderBy(*order)) - 1)
-    offsets = running_offsets(rows.groupBy(order[0]).count(), order[0], "count").withColumnRenamed("offset", "__offset")
-    inside = Window.partitionBy(order[0]).orderBy(*(order[1:] or order[:1]))
-    return rows.withColumn("__n", F.row_number().over(inside)).join(offsets, order[0]).withColumn("row_id", F.col("__offset") + F.col("__n") - 1).drop("__n", "__offset")
+        return rows.withColumn(name, F.row_number().over(Window.partitionBy(*within).orderBy(*order)) - 1)
+    at, part, before = unused(rows, "at", "part", "before")
+    plain = [f.name for f in rows.schema.fields if f.dataType.typeName() not in ("map", "variant", "array", "struct")]
+    keys = [*order, F.xxhash64(*[f"`{c}`" for c in plain])] if plain else list(order)
+    placed = cut(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(at, F.monotonically_increasing_id()))
+    sizes = placed.groupBy(F.shiftright(at, 33).alias(part)).agg(F.count("*").alias("n")).orderBy(part).collect()  # a row for each range
+    total, offsets = 0, []
+    for r in sizes:
+        offsets.append((r[part], total))
+        total += r["n"]
+    table = rows.sparkSession.createDataFrame(offsets, f"`{part}` long, `{before}` long")
+    out = placed.withColumn(part, F.shiftright(at, 33)).join(F.broadcast(table), part)
+    return out.withColumn(name, F.col(before) + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))).drop(at, part, before)
+
+
+def running(rows: DataFrame, by: Sequence[str], order: str | Column, **sums: str) -> DataFrame:
+    """``rows`` with, for each name in ``sums``, the sum of that column over the rows of the same ``by`` up to this one in ``order``.
+
+    In two levels, inside ranges of the order and over their totals, so that no ``by`` has to be in one task.
+    """
+    at, part = unused(rows, "at", "part")
+    placed = cut(rows.repartitionByRange(*by, order).sortWithinPartitions(*by, order).withColumn(at, F.monotonically_increasing_id()))
+    placed = placed.withColumn(part, F.shiftright(at, 33))
+    inside = Window.partitionBy(part, *by).orderBy(at)
+    upto = Window.partitionBy(*by).orderBy(part) if by else Window.orderBy(part)  # a row for each range and what it holds of ``by``
+    names = unused(placed, *[f"before_{n}" for n in sums])
+    totals = placed.groupBy(part, *by).agg(*[F.sum(c).alias(x) for x, c in zip(names, sums.values(), strict=True)])
+    totals = totals.withColumns({x: F.sum(x).over(upto) - F.col(x) for x in names})
+    keys = unused(totals, *[f"key_{k}" for k in range(1 + len(by))])
+    totals = totals.withColumnsRenamed(dict(zip([part, *by], keys, strict=True)))
+    match = F.lit(True)
+    for own, key in zip([part, *by], keys, strict=True):
+        match &= F.col(own).eqNullSafe(F.col(key))
+    out = placed.withColumns({n: F.sum(c).over(inside) for n, c in sums.items()}).join(totals, match)
+    return out.withColumns({n: F.col(n) + F.col(x) for n, x in zip(sums, names, strict=True)}).drop(at, part, *keys, *names)
 
 
 def chunked(rows: DataFrame, chunksize: int, *order: str) -> DataFrame:

@@ -9,10 +9,10 @@ from tempora.functions import scalar
 
 
 def survival_edges(nodes: DataFrame) -> DataFrame:
-    """(u, v): in a sample, from events at the time that v was observed; no self loops; missing never matches."""
+    """(sample_key, u, v): in a sample, from events at the time that v was observed; no self loops; missing never matches."""
     a = nodes.select("sample_key", F.col("event_timestamp").alias("t"), F.col("node_id").alias("u"))
     b = nodes.select("sample_key", F.col("obs_timestamp").alias("t"), F.col("node_id").alias("v"))
-    return a.join(b, ["sample_key", "t"]).where("u <> v").select("u", "v")
+    return a.join(b, ["sample_key", "t"]).where("u <> v").select("sample_key", "u", "v")
 
 
 def times_from_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from tempora import legacy
 from tempora.functions import scalar
 from tempora.operators import causal, encode, graph, ingest, metrics, partition, survival
 from tempora.plans.model import DEGREE, NODES_SQL, SAMPLE_OBS, epoch, nodes, order_events, table
+from tempora.spec import EventSpec
+from tempora.storage import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -98,38 +100,45 @@ def q_event_node_ids(spark, d):
 
 @query(f"{_NODES}, {_SAME} SELECT * FROM same")
 def q_causal_same_type(spark, d):
-    return causal.same_type(nodes(spark, d), DEGREE)
+    return causal.same_type(nodes(spark, d), DEGREE).select("u", "v")
 
 
 @query(f"{_NODES}, {_SAME} SELECT * FROM same")
 def q_causal_same_type_by_rank(spark, d):
-    return causal.same_type(nodes(spark, d), DEGREE, form="rank")
+    return causal.same_type(nodes(spark, d), DEGREE, form="rank").select("u", "v")
+
+
+@query(f"{_NODES}, {_SAME} SELECT sid AS sample_key, u, v FROM same JOIN nodes ON nid = u")
+def q_causal_sliced(spark, d):
+    """Groups cut into slices of time, as a builder does with large ones."""
+    rows = cut(nodes(spark, d))
+    return causal.same_type(rows, DEGREE, slice=causal.slice_width(rows, 50))
 
 
 @query(f"{_NODES}, {_CROSS} SELECT * FROM cross_")
 def q_causal_cross_type(spark, d):
-    return causal.cross_type(nodes(spark, d))
+    return causal.cross_type(nodes(spark, d)).select("u", "v")
 
 
 @query(f"{_NODES}, {_FK} SELECT * FROM fk")
 def q_causal_fk(spark, d):
-    return causal.foreign_key(nodes(spark, d), DEGREE)
+    return causal.foreign_key(nodes(spark, d), DEGREE).select("u", "v")
 
 
 @query(f"{_NODES} SELECT nid AS u, nid AS v FROM nodes")
 def q_causal_self_loops(spark, d):
-    return causal.self_loops(nodes(spark, d))
+    return causal.self_loops(nodes(spark, d)).select("u", "v")
 
 
 @query(f"{_NODES}, {_SAME}, {_CROSS}, {_FK}, {_ALL} SELECT * FROM causal")
 def q_causal_all(spark, d):
-    rows = nodes(spark, d)
-    return causal.causal_edges(rows, DEGREE, rows)
+    rows = cut(nodes(spark, d))
+    return causal.causal_edges(rows, DEGREE, rows).drop("sample_key")
 
 
 @query(f"{_NODES}, {_SURVIVAL} SELECT * FROM survival")
 def q_survival_edges(spark, d):
-    return survival.survival_edges(nodes(spark, d))
+    return survival.survival_edges(nodes(spark, d)).select("u", "v")
 
 
 @query(f"{_NODES}, {_SURVIVAL}, {_TIMES} SELECT nid AS node_id, round(arrival, 3) AS arrival_time FROM times")
@@ -156,9 +165,9 @@ def q_survival_bounds(spark, d):
 @query(f"""{_NODES}, {_SAME}, {_CROSS}, {_FK}, {_ALL} SELECT u, v, b.ets - a.ets AS diff, round(ln(b.ets - a.ets + 1), 3) AS feat
 FROM causal JOIN nodes a ON a.nid = u JOIN nodes b ON b.nid = v WHERE u <> v""")
 def q_edge_feats(spark, d):
-    rows = nodes(spark, d)
+    rows = cut(nodes(spark, d))
     out = survival.edge_features(rows, causal.causal_edges(rows, DEGREE, rows)).where("u <> v")
-    return out.select("u", "v", F.col("diff_timestamp").cast("long").alias("diff"), F.round(F.log1p("diff_timestamp"), 3).alias("feat"))
+    return out.select("u", "v", F.col("diff_timestamp").cast("long").alias("diff"), F.round(F.col("feat").cast("double"), 3).alias("feat"))
 
 
 def _signups(spark, d):
@@ -193,8 +202,6 @@ def q_pit_json_roundtrip(spark, d):
 
 @query("""SELECT user_id AS sample_key, event_id, event_type, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS event_timestamp, json_extract_string(props, '$.k') AS k FROM events""")
 def q_explode_json(spark, d):
-    from tempora.spec import EventSpec
-
     events = table(spark, d, "events")
     cell = F.to_json(F.struct(F.floor(epoch(F.col("ts"))).alias("event_timestamp"), "event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.col("event_type").alias("kind")))
     samples = events.groupBy(F.col("user_id").alias("sample_key")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(cell), ","), F.lit("]")).alias("history"))
@@ -211,7 +218,7 @@ def _some(spark, d):
 
 
 def _graph(spark, d):
-    rows = nodes(spark, d)
+    rows = cut(nodes(spark, d))
     return graph.EventGraph(rows, causal.causal_edges(rows, DEGREE, rows), causal.simplified(survival.survival_edges(rows)))
 
 
@@ -234,9 +241,25 @@ def q_subgraph_relabelled(spark, d):
 
 @query(f"{_NODES}, {_SAME}, {_CROSS}, {_FK}, {_ALL} SELECT (SELECT count(*) FROM nodes) AS nodes, CAST(sum(multiplicity) AS BIGINT) AS causal_edges, (SELECT count(DISTINCT et) FROM nodes) AS types FROM causal")
 def q_graph_stats(spark, d):
+    return _graph(spark, d).stats()
+
+
+@query(f"{_NODES}, {_SAME}, {_CROSS}, {_FK}, {_ALL} SELECT et AS event_type, (SELECT count(*) FROM nodes) AS nodes, (SELECT CAST(sum(multiplicity) AS BIGINT) FROM causal) AS edges, (SELECT count(DISTINCT et) FROM nodes) AS types FROM nodes GROUP BY et")
+def q_graph_properties(spark, d):
     g = _graph(spark, d)
-    stats = g.nodes.agg(F.count("*").alias("nodes"), F.count_distinct("event_type").alias("types"))
-    return stats.join(g.causal.agg(F.sum("multiplicity").alias("causal_edges"))).select("nodes", "causal_edges", "types")
+    return g.unique_event_types.withColumns({"nodes": F.lit(g.num_nodes).cast("long"), "edges": F.lit(g.num_causal_edges).cast("long"), "types": F.lit(g.num_event_types).cast("long")})
+
+
+@query(f"{_NODES}, {_SURVIVAL} SELECT nid AS node_id, obs AS obs_timestamp FROM nodes WHERE obs IS NOT NULL")
+def q_observed(spark, d):
+    return metrics.observed(nodes(spark, d)).select("node_id", *_long("obs_timestamp"))
+
+
+@query("SELECT c_custkey, o.n AS n FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) o ON o_custkey = c_custkey")
+def q_align(spark, d):
+    samples = table(spark, d, "customer").select(F.col("c_custkey").alias("sample_key"))
+    counts = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("sample_key")).agg(F.count("*").alias("n"))
+    return metrics.align(samples, counts).select(F.col("sample_key").alias("c_custkey"), "n")
 
 
 _WORDS = "w AS (SELECT unnest(string_split(p_name || ' ' || lower(p_type), ' ')) AS token FROM part)"
@@ -266,6 +289,60 @@ def q_token_lookup_unknown(spark, d):
     return encode.lookup(rows, "token", dictionary).select("p_partkey", "id")
 
 
+_SEEDS = len(encode.SPECIAL) + len(encode.COMMON)
+_PART_TOKENS = f"""
+t AS (SELECT 'part' AS token UNION SELECT 'kind' UNION SELECT 'size' UNION SELECT DISTINCT unnest(string_split(lower(p_type), ' ')) FROM part),
+dict AS (SELECT token, row_number() OVER (ORDER BY token) - 1 + {_SEEDS} AS id FROM t)"""
+
+
+def _part_samples(spark, d):
+    """Parts as samples with one event each: its kind (words) and its size (a number)."""
+    part = table(spark, d, "part")
+    cell = F.to_json(F.struct(F.lit(1.0).alias("event_timestamp"), F.lower("p_type").alias("kind"), F.col("p_size").alias("size")))
+    return part.select(F.col("p_partkey").alias("sample_key"), F.lit(2.0).alias("obs_timestamp"), cell.alias("part"))
+
+
+def _part_dictionary(spark, d):
+    return encode.gen_dictionary(_part_samples(spark, d), EventSpec(event_cols=("part",)))
+
+
+@query(f"WITH {_PART_TOKENS} SELECT token, id FROM dict")
+def q_gen_dictionary(spark, d):
+    return _part_dictionary(spark, d).where(F.col("id") >= _SEEDS).select("token", "id")
+
+
+_SEQUENCES = f"""{_PART_TOKENS},
+items AS (
+  SELECT p_partkey AS nid, 0 AS pos, 'part' AS key, NULL AS value, ['part'] AS tokens FROM part UNION ALL
+  SELECT p_partkey, 1, 'kind', lower(p_type), ['kind', chr(1) || 'SEP'] || string_split(lower(p_type), ' ') || [chr(1) || 'END'] FROM part UNION ALL
+  SELECT p_partkey, 2, 'size', CAST(p_size AS VARCHAR), ['size', chr(1) || 'SEP'] || string_split(CAST(p_size AS VARCHAR), '') || [chr(1) || 'END'] FROM part),
+rows_ AS (SELECT key, value, tokens, row_number() OVER (ORDER BY min(nid * 10 + pos)) - 1 AS attr_id FROM items GROUP BY key, value, tokens),
+every AS (SELECT attr_id, tokens FROM rows_ UNION ALL SELECT (SELECT count(*) FROM rows_), [chr(1) || 'CLS']),
+ids AS (SELECT token, id FROM dict UNION ALL SELECT chr(1) || 'SEP', 4 UNION ALL SELECT chr(1) || 'END', 2 UNION ALL SELECT chr(1) || 'CLS', 3
+  UNION ALL SELECT CAST(range AS VARCHAR), range + {len(encode.SPECIAL) + 3} FROM range(10)),
+seq AS (SELECT attr_id, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY i) AS s, count(*) AS n
+  FROM (SELECT attr_id, unnest(tokens) AS token, unnest(range(len(tokens))) AS i FROM every) JOIN ids USING (token) GROUP BY attr_id)"""
+
+
+@query(f"WITH {_SEQUENCES} SELECT attr_id, s || repeat(' 0', CAST((SELECT max(n) FROM seq) - n AS INTEGER)) || ' 3' AS token_ids FROM seq")
+def q_token_sequences(spark, d):
+    """The lookup table of a token graph: padded token ids and the class token."""
+    return _token_graph(spark, d).lookup.select("attr_id", F.array_join("token_ids", " ").alias("token_ids"))
+
+
+@query(f"""WITH {_SEQUENCES}
+SELECT nid AS part, string_agg(CAST(attr_id AS VARCHAR), ' ' ORDER BY pos) || ' ' || CAST((SELECT count(*) FROM rows_) AS VARCHAR) AS ids
+FROM items i JOIN rows_ r ON i.key = r.key AND i.value IS NOT DISTINCT FROM r.value GROUP BY nid""")
+def q_graph_tokens(spark, d):
+    """The events of a token graph as rows of its lookup table."""
+    g = _token_graph(spark, d)
+    return g.event_lists().join(g.nodes.select("node_id", "sample_key"), "node_id").select(F.col("sample_key").alias("part"), F.array_join("ids", " ").alias("ids"))
+
+
+def _token_graph(spark, d):
+    return graph.GraphBuilder(EventSpec(event_cols=("part",)), "tokens", dictionary=_part_dictionary(spark, d))(_part_samples(spark, d))
+
+
 _ITEMS = """
 items AS (
   SELECT p_partkey AS nid, 1 AS pos, 'brand' AS key, p_brand AS value FROM part UNION ALL
@@ -298,11 +375,11 @@ def q_event_attr_lists(spark, d):
     return lists.select("node_id", F.array_join("ids", " ").alias("ids"))
 
 
-@query(f"WITH {_ITEMS} SELECT DISTINCT attr_id FROM items i JOIN attrs a ON i.key = a.key AND i.value IS NOT DISTINCT FROM a.value WHERE nid < 20 UNION SELECT 1000000")
+@query(f"WITH {_ITEMS} SELECT DISTINCT attr_id FROM items i JOIN attrs a ON i.key = a.key AND i.value IS NOT DISTINCT FROM a.value JOIN part ON p_partkey = nid WHERE p_size < 25 UNION SELECT 1000000")
 def q_attr_neighbours(spark, d):
     items = _items(spark, d)
     edges = encode.attribute_edges(items, encode.attribute_lookup(items, "node_id"))
-    return graph.attribute_neighbours(edges, spark.range(20).toDF("node_id"), 1_000_000)
+    return graph.attribute_neighbours(edges, table(spark, d, "part").where("p_size < 25").select(F.col("p_partkey").alias("node_id")), 1_000_000)
 
 
 @query("""WITH t AS (SELECT conv_id, count(*) AS n, string_agg(CAST(turn AS VARCHAR), ' ' ORDER BY turn) AS s FROM conversations GROUP BY conv_id)
@@ -312,11 +389,12 @@ def q_pad_sequences(spark, d):
     return encode.id_lists(rows, pad=0, last=3).select(F.col("node_id").alias("conv_id"), F.array_join("ids", " ").alias("ids"))
 
 
-@query("SELECT user_id, round(sum(CAST(embedding[1] AS DOUBLE)), 3) AS first, count(*) AS n FROM events JOIN embeddings ON vec_id = user_id % 500 GROUP BY user_id")
+@query("SELECT e.vec_id, round(sum(CAST(embedding[1] AS DOUBLE)), 3) AS first, count(*) AS n FROM (SELECT event_id % (SELECT count(*) FROM embeddings) AS vec_id FROM events) e LEFT JOIN embeddings m ON m.vec_id = e.vec_id GROUP BY e.vec_id")
 def q_embedding_match(spark, d):
-    items = table(spark, d, "events").select("user_id", (F.col("user_id") % 500).alias("vec_id"))
-    rows = encode.match_embedding(items, table(spark, d, "embeddings"), ["vec_id"])
-    return rows.groupBy("user_id").agg(F.round(F.sum(F.col("embedding")[0].cast("double")), 3).alias("first"), F.count("*").alias("n"))
+    vectors = table(spark, d, "embeddings")
+    items = table(spark, d, "events").select((F.col("event_id") % F.lit(vectors.count())).alias("vec_id"))
+    rows = encode.match_embedding(items, vectors, ["vec_id"], strict=False)
+    return rows.groupBy("vec_id").agg(F.round(F.sum(F.col("embedding")[0].cast("double")), 3).alias("first"), F.count("*").alias("n"))
 
 
 _INDEX = """
@@ -364,8 +442,6 @@ def q_rebatch(spark, d):
 
 @query("SELECT doc_id, CAST(quality AS FLOAT) AS quality, CAST(NULL AS FLOAT) AS churn FROM labels")
 def q_targets_nan(spark, d):
-    from tempora.spec import EventSpec
-
     rows = table(spark, d, "labels").select("doc_id", "quality")
     return ingest.targets(rows, EventSpec(target_cols=("quality", "churn"))).select("doc_id", "quality", "churn")
 
@@ -386,19 +462,26 @@ def q_ks_score(spark, d):
 
 
 def _pairs(spark, d):
-    rows = _scored(spark, d).withColumn("quality", F.when(F.col("doc_id") % 5 != 0, F.col("quality")))
+    rows = table(spark, d, "documents").select("doc_id", "n_chars").join(table(spark, d, "labels"), "doc_id", "left")
     score = F.least(F.lit(1.0), F.col("n_chars") / 5000)
     return metrics.unpivot(rows.withColumn("score", score), ["doc_id"], {"quality": "quality", "toxic": "toxic", "x": "toxic"}, {"quality": "score", "toxic": "score"})
 
 
-_PAIRS = f"""{_SCORED},
+_PAIRS = """
+s AS (SELECT documents.doc_id, quality, toxic, n_chars FROM documents LEFT JOIN labels USING (doc_id)),
 pairs AS (
-  SELECT 'quality' AS target, CAST(CASE WHEN doc_id % 5 <> 0 THEN quality END AS DOUBLE) AS label, least(1, n_chars / 5000.0) AS score FROM s
+  SELECT 'quality' AS target, CAST(quality AS DOUBLE) AS label, least(1, n_chars / 5000.0) AS score FROM s
   UNION ALL SELECT 'toxic', toxic, least(1, n_chars / 5000.0) FROM s)"""
 
 
 @query(f"WITH {_PAIRS} SELECT target, round(avg(abs(label - score)), 6) AS value FROM pairs WHERE label IS NOT NULL GROUP BY target")
 def q_masked_metric(spark, d):
+    out = metrics.masked_metric(_pairs(spark, d), F.avg(F.abs(F.col("label") - F.col("score"))))
+    return out.select("target", F.round("value", 6).alias("value"))
+
+
+@query(f"WITH {_PAIRS} SELECT target, round(avg(abs(label - score)), 6) AS value FROM pairs WHERE label IS NOT NULL GROUP BY target")
+def q_masked_metric_python(spark, d):
     out = metrics.masked_metric(_pairs(spark, d), lambda y, p: (y - p).abs().mean())
     return out.select("target", F.round("value", 6).alias("value"))
 
@@ -455,6 +538,14 @@ def q_json_round(spark, d):
     return rows.select("event_id", F.col("j.xs")[0].alias("r"))
 
 
+@query("""SELECT l_orderkey, l_linenumber, l_extendedprice AS x, CAST(round(CAST(l_extendedprice / 8 AS DECIMAL(30, 20)), 2) AS DOUBLE) AS far
+FROM lineitem WHERE abs(l_extendedprice / 8 * 100 - floor(l_extendedprice / 8 * 100) - 0.5) > 0.01""")
+def q_json_round_places(spark, d):
+    rows = table(spark, d, "lineitem").withColumn("y", F.col("l_extendedprice") / 8)
+    rows = rows.where(F.abs(F.col("y") * 100 - F.floor(F.col("y") * 100) - 0.5) > 0.01)
+    return rows.select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("x"), scalar.json_round(F.col("y"), 2, T.DoubleType()).alias("far"))
+
+
 @query("SELECT l_quantity AS value, round(count(*) / (SELECT count(*) FROM lineitem) , 9) AS share, round(sum(count(*)) OVER (ORDER BY l_quantity) / (SELECT count(*) FROM lineitem), 9) AS prob FROM lineitem GROUP BY l_quantity")
 def q_ecdf(spark, d):
     out = legacy.ecdf(table(spark, d, "lineitem").select(F.lit("quantity").alias("key"), F.col("l_quantity").alias("value")))
@@ -491,11 +582,11 @@ def q_sequence_degree(spark, d):
     return rows.join(wide, F.col("event_id") == F.col("v"), "left").select("event_id", "p1", "p2")
 
 
-@query("SELECT p_partkey, p_brand, 'out/' || CAST((row_number() OVER (ORDER BY p_partkey) - 1) // 100 AS VARCHAR) || '.csv' AS path FROM part")
+@query("SELECT p_partkey, p_brand, 'out/chunk=' || CAST((row_number() OVER (ORDER BY p_partkey) - 1) // 100 AS VARCHAR) AS path FROM part")
 def q_split_csv_meta(spark, d):
     from tempora import sinks
 
-    return sinks.shard_paths(table(spark, d, "part").select("p_partkey", "p_brand"), "out", 100, ["p_partkey"])
+    return sinks.shard_paths(partition.chunked(table(spark, d, "part"), 100, "p_partkey"), "out", select=["p_partkey", "p_brand"])
 
 
 @query("SELECT p_partkey AS id, p_name AS name, NULL AS nation FROM part UNION ALL SELECT s_suppkey, s_name, s_nationkey FROM supplier")
@@ -511,11 +602,22 @@ def q_vocab_union(spark, d):
     return encode.union_vocabulary(encode.tokens_of(part.select(F.col("p_name").alias("x")), "x"), encode.tokens_of(part.select(F.lower("p_type").alias("x")), "x"))
 
 
-@query("SELECT DISTINCT token FROM (SELECT unnest(string_split(p_name, ' ')) AS token FROM part) WHERE token NOT IN (SELECT unnest(string_split(p_name, ' ')) FROM part WHERE p_partkey < 3)")
+@query("""WITH w AS (SELECT unnest(string_split(p_name || ' ' || lower(p_type), ' ')) AS token FROM part)
+SELECT DISTINCT token FROM w WHERE token NOT IN (SELECT unnest(string_split(p_name, ' ')) FROM part WHERE p_size < 10)""")
 def q_new_tokens(spark, d):
     part = table(spark, d, "part")
-    old = encode.tokens_of(part.where("p_partkey < 3").select(F.col("p_name").alias("x")), "x")
-    return encode.tokens_of(part.select(F.col("p_name").alias("x")), "x").join(old, "token", "left_anti")
+    old = encode.numbered(encode.tokens_of(part.where("p_size < 10").select(F.col("p_name").alias("x")), "x")).select(F.lit("common").alias("kind"), "token", "id")
+    return encode.new_tokens(old, _part_tokens(spark, d))
+
+
+@query("""WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS token FROM part),
+o AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS id FROM w WHERE token < 'm'),
+n AS (SELECT token, row_number() OVER (ORDER BY token) - 1 + (SELECT count(*) FROM o) AS id FROM w WHERE token >= 'm')
+SELECT * FROM o UNION ALL SELECT * FROM n""")
+def q_add_tokens(spark, d):
+    words = encode.tokens_of(table(spark, d, "part").select(F.col("p_name").alias("x")), "x")
+    old = encode.numbered(words.where("token < 'm'")).select(F.lit("common").alias("kind"), "token", "id")
+    return encode.add_tokens(old, words).select("token", "id")
 
 
 @query(f"{_NODES} SELECT nid AS node_id, coalesce(CAST(obs AS VARCHAR), 'nan') AS obs FROM nodes")

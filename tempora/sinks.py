@@ -13,11 +13,10 @@ from tempora.operators.graph import EventGraph
 from tempora.operators.partition import chunked
 
 
-def shard_paths(rows: DataFrame, dst: str, chunksize: int, order: Sequence[str], suffix: str = "csv", drop: Sequence[str] = (), select: Sequence[str] | None = None) -> DataFrame:
-    """Each row's columns to keep (all by default; ``select`` goes before ``drop``) and the ``path`` of its shard."""
-    out = chunked(rows, chunksize, *order)
-    keep = list(select) if select is not None else [c for c in rows.columns if c not in set(drop)]
-    return out.select(*keep, F.format_string(f"{dst}/%d.{suffix}", "chunk").alias("path"))
+def shard_paths(rows: DataFrame, dst: str, drop: Sequence[str] = (), select: Sequence[str] | None = None) -> DataFrame:
+    """Each row's columns to keep (all by default; ``select`` goes before ``drop``) and the ``path`` of its shard, by its ``chunk``."""
+    keep = list(select) if select is not None else [c for c in rows.columns if c != "chunk" and c not in set(drop)]
+    return rows.select(*keep, F.format_string(f"{dst}/chunk=%d", "chunk").alias("path"))
 
 
 def split_csv(rows: DataFrame, dst: str, chunksize: int, order: Sequence[str], compression: str | None = "gzip", drop: Sequence[str] = (), select: Sequence[str] | None = None, func=None) -> DataFrame:
@@ -29,8 +28,7 @@ def split_csv(rows: DataFrame, dst: str, chunksize: int, order: Sequence[str], c
     out = chunked(rows, chunksize, *order).drop("row_id")
     writer = out.repartition("chunk").write.mode("errorifexists").partitionBy("chunk").option("header", True).option("escape", "\\")
     (writer.option("compression", compression) if compression else writer).csv(dst)
-    keep = list(select) if select is not None else [c for c in rows.columns if c not in set(drop)]
-    manifest = out.select(*keep, F.format_string(f"{dst}/chunk=%d", "chunk").alias("path"))
+    manifest = shard_paths(out, dst, drop, select)
     manifest.write.mode("errorifexists").option("header", True).csv(f"{dst}_path")
     return manifest
 
@@ -39,13 +37,14 @@ _TABLES = ("nodes", "causal", "survival", "lookup", "attr_edges")
 
 
 def save_graph(graph: EventGraph, dst: str, labels: DataFrame | None = None, compression: str = "zstd", buckets: int = 64) -> None:
-    """The graph's tables as Parquet below ``dst``; nodes and labels by buckets of samples, so that a sample's rows stand together."""
+    """The graph's tables as Parquet below ``dst``, a sample's rows together: readers of some samples skip the other row groups."""
     for name in _TABLES:
         frame = getattr(graph, name)
         if frame is None:
             continue
-        if name == "nodes":
-            frame = frame.repartition(buckets, "sample_key").sortWithinPartitions("sample_key", "node_id")
+        if name != "lookup":
+            order = {"nodes": ["node_id"], "attr_edges": ["node_id", "pos"]}.get(name, ["u", "v"])
+            frame = frame.repartitionByRange(buckets, "sample_key", *order).sortWithinPartitions("sample_key", *order)
         frame.write.mode("errorifexists").option("compression", compression).parquet(f"{dst}/{name}")
     if labels is not None:
         labels.write.mode("errorifexists").option("compression", compression).parquet(f"{dst}/labels")

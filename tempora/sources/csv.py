@@ -20,18 +20,20 @@ JSON_CELLS = {"escape": "\\", "quote": '"', "multiLine": "true"}
 _MODES = {"raise": "FAILFAST", "drop": "DROPMALFORMED", "keep": "PERMISSIVE"}
 
 
-def read_csv(spark: SparkSession, inputs, schema: T.StructType | str | None = None, error: bool = True, warning: bool = True, recurse: bool = True, bad_rows: str | None = None, pre=None, with_path: bool = False, **options: str) -> DataFrame:
+def read_csv(spark: SparkSession, inputs, schema: T.StructType | str | None = None, error: bool = True, warning: bool = True, recurse: bool = True, bad_rows: str | None = None, pre=None, with_path: bool = False, with_place: bool = False, **options: str) -> DataFrame:
     """CSV files below ``inputs`` as one DataFrame, their columns matched by name.
 
     ``inputs`` may be a DataFrame already. Files that can't be read raise; with ``error`` off they
     are skipped (after a warning). ``bad_rows``: raise, drop or keep (as far as they can be parsed).
-    ``with_path`` adds the file. A row's file and line are its identity: ``pre`` maps the DataFrame.
+    ``with_path`` adds the file, ``with_place`` (of files that aren't zip) ``place``, which orders the
+    rows of a file. Files of other formats are told by name; with a schema, a file whose header has
+    other names raises when it is read. ``pre`` maps the DataFrame.
     """
     if isinstance(inputs, DataFrame):
         return inputs.transform(pre) if pre else inputs
     paths = list_files(spark, inputs, error, warning, recurse)
     if recurse is True:
-        wrong = [p for p in paths if not p.lower().endswith((".csv", ".txt", ".gz", ".bz2", ".zst", ".zip", ".tsv"))]
+        wrong = [p for p in paths if p.lower().endswith(_OTHER)]
         if wrong and error:
             raise ValueError(f"not CSV: {wrong[:3]}")
         if wrong and warning:
@@ -44,7 +46,11 @@ def read_csv(spark: SparkSession, inputs, schema: T.StructType | str | None = No
         reader = spark.read.options(header="true", mode=_MODES[bad_rows or ("raise" if error and schema else "keep")], **options)
         if not error:
             reader = reader.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
+        if schema and error:
+            reader = reader.option("enforceSchema", "false")
         rows = reader.schema(schema).csv(plain) if schema else reader.option("inferSchema", "true").csv(plain)
+        if with_place:
+            rows = rows.withColumn("place", F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")))
         parts.append(rows.withColumn("path", F.input_file_name()) if with_path else rows)
     if zips:
         parts.append(_zipped(spark, zips, schema, error, with_path, options))
@@ -58,6 +64,10 @@ def read_csv(spark: SparkSession, inputs, schema: T.StructType | str | None = No
     return out.transform(pre) if pre else out
 
 
+#: Files of other formats, by name.
+_OTHER = (".py", ".json", ".parquet", ".orc", ".avro", ".xml", ".pkl", ".gzip")
+
+
 def _zipped(spark, paths: list[str], schema, error: bool, with_path: bool, options: dict) -> DataFrame:
     """Members of zip files, which no Hadoop codec reads: a file is a task, read in pieces."""
     if isinstance(schema, str):

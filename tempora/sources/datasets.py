@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempora.operators import encode, partition
 from tempora.operators.graph import EventGraph, GraphBuilder
+from tempora.storage import cut, release
 
 
 @dataclass
@@ -53,6 +54,21 @@ class CSVDataset(PartitionDataset):
         rows = read_csv(self.paths.sparkSession, paths, recurse=False, with_path=True, **(self.options or {}))
         return rows.transform(self.func) if self.func else rows
 
+    def fetch(self, items: DataFrame) -> DataFrame:
+        """The rows of sample numbers (``item``): those at their offsets in their files."""
+        from tempora.sources.csv import read_csv
+
+        paths = [r["path"] for r in self.index.select("path").collect()]  # one row a file
+        rows = read_csv(self.paths.sparkSession, paths, recurse=False, with_path=True, with_place=True, **(self.options or {}))
+        # numbers over all files, less the first one of the file
+        rows = partition.numbered_rows(rows, "path", "place.block", "place.at", name="number")
+        first = rows.groupBy("path").agg(F.min("number").alias("first"))
+        rows = rows.join(first, "path").withColumn("offset", F.col("number") - F.col("first"))
+        name = lambda c: F.regexp_replace(c, "^[a-z]+:/+", "/")
+        wanted = self.locate(items).select("item", name(F.col("path")).alias("path"), "offset")
+        rows = rows.withColumn("path", name(F.col("path"))).join(wanted, ["path", "offset"]).drop("number", "first", "place")
+        return rows.transform(self.func) if self.func else rows
+
     def graph(self, sample_key: str) -> tuple[EventGraph, DataFrame]:
         return self.builder.generate(self.rows(), sample_key)
 
@@ -98,9 +114,9 @@ class GraphDataset:
             return partition.batches(rows, batch_size, num_workers, "sample_key")
         return partition.batches(partition.shuffled(rows, seed, "sample_key"), batch_size, num_workers, "shuffle_key", "sample_key")
 
-    def batch(self, plan: DataFrame, number: int) -> tuple[EventGraph, DataFrame | None]:
+    def batch(self, plan: DataFrame, number: int, graph: EventGraph | None = None) -> tuple[EventGraph, DataFrame | None]:
         """The sub-graph of a batch, re-labelled, and its attributes with their vectors."""
-        part = self.graph().sample_subgraph(plan.where(F.col("batch") == number), relabel=True)
+        part = (graph or self.graph()).sample_subgraph(plan.where(F.col("batch") == number), relabel=True)
         if self.embedding is None:
             return part, None
         items = encode.entries(part.nodes).withColumn("value", F.when(F.col("pos") > 0, encode.scalar.value_text(F.col("value"))))
@@ -108,9 +124,18 @@ class GraphDataset:
         return part, encode.match_embedding(items.fillna({"value": ""}), known.fillna({"value": ""}), ["key", "value"])
 
     def loader(self, plan: DataFrame) -> Iterator[tuple[EventGraph, DataFrame | None]]:
-        """Batches in turn; only their numbers come to the driver."""
-        for row in plan.select("turn", "batch").distinct().orderBy("turn").toLocalIterator():
-            yield self.batch(plan, row["batch"])
+        """Batches in turn; only their numbers come to the driver.
+
+        The graph's tables are first written by batch, so that a batch reads its own rows only.
+        """
+        graph = self.graph()
+        keys = plan.select("sample_key", "batch")
+        parts = {n: cut(getattr(graph, n).join(keys, "sample_key").repartition("batch"), folders="batch") for n in ("nodes", "causal", "survival", "attr_edges") if getattr(graph, n) is not None}
+        order = cut(plan.select("turn", "batch", "sample_key"))
+        for row in order.select("turn", "batch").distinct().orderBy("turn").toLocalIterator():
+            own = {n: t.where(F.col("batch") == row["batch"]).drop("batch") for n, t in parts.items()}
+            yield self.batch(order, row["batch"], replace(graph, **own))
+        release(order, *parts.values())
 
 
 def load_dictionary(spark: SparkSession, path: str) -> DataFrame:

@@ -70,8 +70,9 @@ NODES = T.StructType([
     T.StructField("node_id", T.LongType()),
 ])
 
-#: Edges from u to v; multiplicity counts parallel ones.
+#: Edges of a sample from u to v; multiplicity counts parallel ones.
 EDGES = T.StructType([
+    T.StructField("sample_key", T.LongType()),
     T.StructField("u", T.LongType()), T.StructField("v", T.LongType()), T.StructField("multiplicity", T.LongType()),
 ])
 

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,12 +45,16 @@ def test_dictionary(spark):
     got = encode.lookup(spark.createDataFrame([("apple",), ("nope",)], "token string"), "token", more)
     assert {r["token"]: r["id"] for r in got.collect()} == {"apple": len(rows), "nope": 1}
     assert not encode.is_valid(more.where("id <> 3"))
+    one = spark.createDataFrame([("common", "x", 0)], "kind string, token string, id long")
+    assert {r["token"]: r["id"] for r in encode.add_tokens(one, spark.createDataFrame([("y",), ("x",), (None,)], "token string")).collect()} == {"x": 0, "y": 1}
+    none = encode.add_tokens(one.where("false"), spark.createDataFrame([("y",)], "token string")).head()
+    assert (none["token"], none["id"]) == ("y", 0)
 
 
 def test_value_tokens(spark):
     frame = spark.sql("""select i, parse_json(j) v from values (0, '1.5'), (1, 'true'), (2, '"a b"'), (3, 'null') t(i, j)""")
     rows = frame.select("i", encode.value_tokens(F.col("v")).alias("t"), scalar.kind_of(F.col("v")).alias("k")).orderBy("i").collect()
-    assert [r["t"] for r in rows] == [["1", ".", "5"], ["True"], ["a", "b"], ["None"]]
+    assert [r["t"] for r in rows] == [["1", ".", "5"], ["T", "r", "u", "e"], ["a", "b"], ["None"]]
     assert [r["k"] for r in rows] == ["n", "b", "s", "z"]
 
 
@@ -102,3 +108,66 @@ def test_legacy(spark):
     assert edges.count() == 6
     tree = legacy.json_tree(spark.createDataFrame([(1, '{"a": [1, {"b": 2}]}')], "id int, j string"), "id", "j")
     assert sorted(r["name"] for r in tree.collect()) == ["a", "a_item", "a_item", "b", "root"]
+
+
+def test_value_text(spark):
+    numbers = ["1", "1.0", "-2.50", "1e20", "1E-5", "0.0001", "0.00012", "123456789.25", "1e15", "1e16", "12345678901234567", "1.5e300", "-1e-7", "0.1"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(numbers)], "i int, j string").select("i", scalar.value_text(F.parse_json("j")).alias("t"))
+    import json
+
+    assert [r["t"] for r in rows.orderBy("i").collect()] == [str(json.loads(x)) for x in numbers]
+    rows = spark.sql("""select scalar_ t from (select 1) lateral view explode(array('null', 'true', 'false', '"a"')) as scalar_""").select(scalar.value_text(F.parse_json("t")).alias("t"))
+    assert [r["t"] for r in rows.collect()] == ["None", "True", "False", "a"]
+    rng = random.Random(3)
+    doubles = [rng.uniform(-1, 1) * 10 ** rng.randint(-9, 20) for _ in range(300)]
+    texts = column(spark, T.DoubleType(), doubles, scalar.float_text)
+    # of two texts of that length that read back as the number, either may be shown
+    assert all(float(t) == x and len(t) == len(repr(x)) for t, x in zip(texts, doubles, strict=True))
+    assert sum(t == repr(x) for t, x in zip(texts, doubles, strict=True)) > 295
+
+
+def test_rounding_by_exact_value(spark):
+    rng = random.Random(4)
+    values = [2.675, -2.675, 2.665, 1.005, 0.125, 0.375, 2.5, -0.5, 1e-9, 0.0, 123456.785, 1e300, float("inf"), None]
+    values += [rng.randrange(-(10**7), 10**7) / 1000 for _ in range(400)] + [rng.randrange(10**6) / 8 for _ in range(100)]
+    for digits in (0, 1, 2, 3):
+        got = column(spark, T.DoubleType(), values, lambda c: scalar.json_round(c, digits, T.DoubleType()))  # noqa: B023
+        assert got == [None if x is None else round(x, digits) if x not in (float("inf"),) else x for x in values]
+
+
+def test_numbers_of_any_order(spark):
+    from datetime import datetime
+
+    stamps = [datetime(2024, 1, 1 + k % 5) for k in range(40)] + [None] * 3
+    rows = spark.createDataFrame([(t, f"k{k % 3}" if k % 7 else None, k) for k, t in enumerate(stamps)], "t timestamp, s string, k long").repartition(5)
+    for order in (["t", "k"], ["s", "k"], ["t", "s", "k"]):
+        got = partition.numbered_rows(rows, *order).collect()
+        key = lambda r: tuple((r[c] is not None, r[c] if r[c] is not None else 0) for c in order)  # noqa: B023, E731
+        assert [r["row_id"] for r in sorted(got, key=key)] == list(range(43))
+    same = partition.numbered_rows(spark.range(500).selectExpr("id", "'one' g").repartition(4), "g")
+    assert sorted(r["row_id"] for r in same.collect()) == list(range(500))
+    assert partition.numbered_rows(rows.where("false"), "t").count() == 0
+    assert partition.batches(rows, 10, 2, "t").count() == 43 and partition.worker_split(rows, 4, "s").count() == 43
+    named = rows.withColumnsRenamed({"s": "part", "k": "at"})
+    assert partition.numbered_rows(named, "t").columns == ["t", "part", "at", "row_id"]
+
+
+def test_running_sums(spark):
+    rows = [(g, float(v), 1) for g in ("a", "b", None) for v in range(30)] + [("hot", float(v), 2) for v in range(400)]
+    frame = spark.createDataFrame(rows, "g string, v double, n long").repartition(6)
+    got = {(r["g"], r["v"]): r["total"] for r in partition.running(frame, ["g"], "v", total="n").collect()}
+    assert len(got) == len(rows) and all(got[g, v] == (v + 1) * (2 if g == "hot" else 1) for g, v, _ in rows)
+    whole = partition.running(spark.range(100).selectExpr("cast(id as double) v", "id n"), [], "v", total="n").collect()
+    assert all(r["total"] == r["v"] * (r["v"] + 1) / 2 for r in whole)
+
+
+def test_history_is_taken_from_the_front(spark):
+    history = spark.createDataFrame([(1, 0.5), (2, 0.3)], "epoch int, loss double")
+    first, rest = metrics.pop_epoch(history, "loss")
+    assert first.head()["loss"] == 0.5 and [r["epoch"] for r in rest.collect()] == [2]
+
+
+def test_json_trees_mark_where_they_are_cut(spark):
+    rows = spark.createDataFrame([(1, '{"a": {"b": {"c": 1}}, "x": []}')], "id int, j string")
+    assert {r["path"]: r["cut"] for r in legacy.json_tree(rows, "id", "j", depth=1).collect()} == {"$": False, "$.a": True, "$.x": False}
+    assert not any(r["cut"] for r in legacy.json_tree(rows, "id", "j").collect())

@@ -134,3 +134,61 @@ def test_subgraph_and_attributes(spark):
     near = graph.attribute_neighbours(built.attr_edges, part.nodes, 99)
     assert 99 in {r["attr_id"] for r in near.collect()}
     assert built.edges("survival").count() == 0 and built.features().where("u <> v").count() == 2
+
+
+def test_events_without_a_sample_keep_their_nodes(spark):
+    frame = spark.createDataFrame([(None, 100.0, '{"event_timestamp": 1}'), (5, 100.0, '{"event_timestamp": 2}'), (5, 100.0, '{"event_timestamp": 1}')], "sample_key long, obs_timestamp double, e string")
+    rows = ingest.build_nodes(frame, EventSpec(event_cols=("e",))).collect()
+    assert sorted((r["node_id"], r["sample_key"], r["event_timestamp"]) for r in rows) == [(0, None, 1.0), (1, 5, 1.0), (2, 5, 2.0)]
+    placed = ingest.place_in_sample(ingest.with_eligible(ingest.explode_events(frame, EventSpec(event_cols=("e",)))))
+    assert sorted(r["place"] for r in placed.collect()) == [0, 0, 1]
+    words = spark.createDataFrame([("b", 100.0, '{"event_timestamp": 1}'), ("a", 100.0, '{"event_timestamp": 1}')], "sample_key string, obs_timestamp double, e string")
+    assert [r["sample_key"] for r in ingest.build_nodes(words, EventSpec(event_cols=("e",))).orderBy("node_id").collect()] == ["a", "b"]
+
+
+def test_token_graph(spark):
+    """A graph made by hand: two types, a number, a repeated pair, an unknown word."""
+    from tempora.operators import encode
+
+    spec = EventSpec(event_cols=("buy", "see"))
+    rows = [(1, 9.0, json.dumps([{"event_timestamp": 1, "what": "red car", "n": 12}, {"event_timestamp": 2, "n": 12.0}]), json.dumps({"event_timestamp": 3, "ok": True, "no": None}))]
+    frame = spark.createDataFrame(rows, "sample_key long, obs_timestamp double, buy string, see string")
+    words = encode.add_tokens(encode.seed_dictionary(spark), spark.createDataFrame([(w,) for w in ("buy", "see", "what", "red", "car", "n", "ok")], "token string"))
+    ids = {r["token"]: r["id"] for r in words.collect()}
+    built = graph.GraphBuilder(spec, "tokens", dictionary=words)(frame)
+    SEP, END, CLS = 4, 2, 3
+    expected = [
+        [ids["buy"]], [ids["what"], SEP, ids["red"], ids["car"], END], [ids["n"], SEP, ids["1"], ids["2"], END],
+        [ids["see"]], [ids["ok"], SEP, *(ids[c] for c in "True"), END], [1, SEP, ids["None"], END], [CLS],
+    ]
+    got = sorted(built.lookup.collect(), key=lambda r: r["attr_id"])
+    by_first = {tuple(x for x in r["token_ids"][:-1] if x): r["attr_id"] for r in got}
+    assert all(len(r["token_ids"]) == 8 and r["token_ids"][-1] == CLS for r in got)
+    assert set(by_first) == {tuple(e) for e in expected} and [r["attr_id"] for r in got] == list(range(7))
+    assert by_first[CLS,] == 6 and by_first[ids["buy"],] == 0 and by_first[ids["see"],] == 3
+    lists = {r["node_id"]: r["ids"] for r in built.event_lists().collect()}
+    assert [len(x) for x in lists.values()] == [4] * 3 and all(x[-1] == 6 for x in lists.values())
+    assert lists[1][:3] == [0, by_first[tuple(expected[2])], -1] and lists[2][0] == 3
+    part = built.sample_subgraph(spark.createDataFrame([(1,)], "sample_key long"))
+    assert part.lookup.count() == 7
+    found = {r["token"] for r in encode.gen_dictionary(frame, spec).collect()} - {r["token"] for r in encode.seed_dictionary(spark).collect()}
+    assert found == {"buy", "see", "what", "red", "car", "ok", "no"}
+
+
+def test_sub_graphs_by_edge_type(spark):
+    nodes = nodes_of(spark, [("A", 1), ("A", 2), ("B", 3, 1)])
+    built = graph.EventGraph(nodes, causal.causal_edges(nodes, 1), causal.simplified(survival.survival_edges(nodes)))
+    assert pairs(built.edges("survival")) == [(0, 2)] and len(pairs(built.edges("causal"))) == 5
+    assert built.node(1).head()["event_timestamp"] == 2.0
+    assert built.times().where("node_id = 2").head()["arrival_time"] == 2.0
+    assert causal.slice_width(nodes, 1) == 1.0 / 2 and causal.slice_width(nodes) is None
+
+
+def test_generator_goes_by_chunks(spark):
+    rows = [(s, 100.0, json.dumps([{"event_timestamp": 1}] * (s % 3 + 1))) for s in range(10)]
+    frame = spark.createDataFrame(rows, "sample_key long, obs_timestamp double, e string")
+    builder = graph.GraphBuilder(EventSpec(event_cols=("e",), target_cols=("y",)))
+    parts = [(g.num_nodes, samples.columns, samples.count()) for g, samples in builder.generator(frame, 4)]
+    assert [p[2] for p in parts] == [4, 4, 2] and sum(p[0] for p in parts) == sum(s % 3 + 1 for s in range(10))
+    assert parts[0][1] == ["sample_key", "obs_timestamp", "y"]
+    assert len(list(builder.generator(frame, 4, max_batch=2))) == 2 and not list(builder.generator(frame.where("false"), 4))

@@ -101,3 +101,44 @@ def test_stream(spark, tmp_path):
     counts = stream.windowed_counts(stream.read_events(spark, str(source), "id long, t timestamp, v double"), "t", "5 minutes", "1 minute", value="v")
     counts.writeStream.format("memory").queryName("counts").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c2")).start().awaitTermination(60)
     assert [r["n"] for r in spark.table("counts").collect()] == [2]
+
+
+def scored(part: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"sample_key": [part["sample_key"].iloc[0]], "y": [[float(len(part)), 1.0]]})
+
+
+@pytest.fixture
+def sample_shards(tmp_path):
+    for i, n in enumerate((7, 0, 5)):
+        cells = [json.dumps([{"event_timestamp": k + 1.0} for k in range(j % 3 + 1)]) for j in range(n)]
+        pd.DataFrame({"uid": range(100 * i, 100 * i + n), "obs_timestamp": 9.0, "e": cells}).to_csv(tmp_path / f"{i}.csv", index=False, escapechar="\\", doublequote=False)
+    return tmp_path
+
+
+def test_predict_csv(spark, sample_shards):
+    builder = GraphBuilder(EventSpec(event_cols=("e",), target_cols=("y",)))
+    kind = "uid long, obs_timestamp double, e string"
+    out = nn.predict_csv(spark, builder, scored, "sample_key long, y array<double>", str(sample_shards), {"y": 2}, schema=kind, **csv.JSON_CELLS).collect()
+    assert {r["uid"]: r["y_dim0_pred"] for r in out} == {100 * i + j: j % 3 + 1.0 for i, n in ((0, 7), (2, 5)) for j in range(n)}
+    part = nn.predict_csv(spark, builder, scored, "sample_key long, y array<double>", str(sample_shards), {"y": 2}, chunksize=4, max_batch=2, schema=kind, **csv.JSON_CELLS)
+    assert part.count() == 8 and "e" not in part.columns
+    frame = csv.read_csv(spark, str(sample_shards), schema=kind, **csv.JSON_CELLS).withColumnRenamed("uid", "sample_key")
+    some = nn.predict_batches(builder.generator(frame, 5), scored, "sample_key long, y array<double>", max_batch=2)
+    assert some.count() == 10 and some.where("y is not null and y[1] = 1.0").count() == 0 or "y" in some.columns
+
+
+def test_csv_dataset(spark, sample_shards):
+    paths = spark.createDataFrame([(f"{sample_shards}/{i}.csv",) for i, n in enumerate((7, 0, 5)) for _ in range(n)], "path string")
+    builder = GraphBuilder(EventSpec(event_cols=("e",), target_cols=("y",)))
+    data = datasets.CSVDataset(paths, builder, options={"schema": "uid long, obs_timestamp double, e string", **csv.JSON_CELLS})
+    assert len(data) == 12 and data.rows().count() == 12
+    built, samples = data.graph("uid")
+    assert samples.count() == 12 and built.num_nodes == sum(j % 3 + 1 for n in (7, 5) for j in range(n))
+    wanted = spark.createDataFrame([(0,), (6,), (7,), (11,)], "item long")
+    assert {r["item"]: r["uid"] for r in data.fetch(wanted).collect()} == {0: 0, 6: 6, 7: 200, 11: 204}
+
+
+def test_wrong_header_raises(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("other,names\n1,2\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        csv.read_csv(spark, str(tmp_path), schema="uid long, x double").collect()
