@@ -8,8 +8,9 @@ so that code-switched text is labelled word by word. Training maximises the cond
 (gradients by forward-backward) on a bounded sample; prediction sums the words' forward-backward
 marginals over the whole text.
 
-The sample is ``SAMPLE_DOCS`` documents of each language, those of smallest hash of the id,
-of at most ``SAMPLE_CHARS`` characters; everything else covers whole texts and all rows.
+The sample is ``SAMPLE_DOCS`` documents of each of the ``SAMPLE_LANGUAGES`` most frequent languages,
+those of smallest hash of id and text; a document of over ``SAMPLE_CHARS`` characters gives a stretch of
+that length from a place that the hash chooses. Everything else covers whole texts and all rows.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; without any labelled row
 every text with letters is `und` too; ties go to the first language in alphabetical order; repeated
@@ -21,6 +22,7 @@ from __future__ import annotations
 from array import array
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
@@ -28,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tempora.llm.arrow import text_parts
 from tempora.llm.storage import few_of_each
 from tempora.llm.word_table import WordTable, character_classes
 
 SAMPLE_DOCS = 200
 SAMPLE_CHARS = 5_000
+SAMPLE_LANGUAGES = 100
 WORD_CHARS = 40
 SPACE_BITS = 16
 LEXICON_MIN = 3
@@ -98,6 +102,38 @@ class LanguageModel:
         return np.add.reduceat(self.weights[flat], np.concatenate((np.zeros(1, np.int64), np.cumsum(n)))[:-1], axis=0)
 
 
+@dataclass
+class Field:
+    """Labelled chains: ``word`` numbers each place's word, whose features are flat[offsets[word] :][: n[word]]; ``gold`` is its label."""
+
+    word: np.ndarray
+    gold: np.ndarray
+    chains: Chains
+    flat: np.ndarray
+    offsets: np.ndarray
+    n: np.ndarray
+    labels: int
+
+    def likelihood(self, weights: np.ndarray, transition: np.ndarray, start: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        """The log-likelihood of the labels for a word, and its slopes in weights, transitions and starts."""
+        word, gold, L = self.word, self.gold, self.labels
+        linked = np.ones(len(word), bool)
+        linked[self.chains.begins] = False
+        later = np.flatnonzero(linked)
+        emission = np.add.reduceat(weights[self.flat], self.offsets, axis=0)[word]
+        marginal, alpha, beta, local, scale, move = self.chains.marginals(emission, transition, start)
+        pairs = move * ((alpha[later - 1].T) @ (beta[later] * local[later] / scale[later, None]))
+        gap = np.eye(L)[gold] - marginal
+        by_word = np.stack([np.bincount(word, gap[:, k], len(self.n)) for k in range(L)], axis=1)
+        by_feature = np.stack([np.bincount(self.flat, np.repeat(by_word[:, k], self.n), len(weights)) for k in range(L)], axis=1)
+        gold_pairs = np.bincount(gold[later - 1] * L + gold[later], minlength=L * L).reshape(L, L)
+        gold_start = np.bincount(gold[self.chains.begins], minlength=L)
+        norm = np.log(scale).sum() + emission.max(axis=1).sum() + len(later) * transition.max() + len(self.chains.begins) * start.max()
+        shown = emission[np.arange(len(word)), gold].sum() + (gold_pairs * transition).sum() + (gold_start * start).sum()
+        slopes = by_feature, gold_pairs - pairs, gold_start - marginal[self.chains.begins].sum(axis=0)
+        return float(shown - norm) / len(word), *(x / len(word) for x in slopes)
+
+
 def train(texts: list[str], labels: list[str], rounds: int = ROUNDS) -> LanguageModel:
     """Fit the field on whole texts, every word of a text labelled with its language."""
     names = sorted(set(labels))
@@ -129,28 +165,14 @@ def train(texts: list[str], labels: list[str], rounds: int = ROUNDS) -> Language
         held.extend(features)
     flat = np.frombuffer(held, np.int64)
     offsets = np.concatenate((np.zeros(1, np.int64), np.cumsum(n)))[:-1]
-    chains = Chains(cuts[:-1], cuts[1:])
     size = 1 << SPACE_BITS
     weights, transition, start = np.zeros((size, L)), np.zeros((L, L)), np.zeros(L)
     speed = [np.full(x.shape, 1e-8) for x in (weights, transition, start)]
-    onehot = np.eye(L)[gold]
-    linked = np.ones(len(word), bool)
-    linked[chains.begins] = False
-    later = np.flatnonzero(linked)
-    gold_pairs = np.bincount(gold[later - 1] * L + gold[later], minlength=L * L).reshape(L, L)
-    gold_start = np.bincount(gold[chains.begins], minlength=L)
+    field = Field(word, gold, Chains(cuts[:-1], cuts[1:]), flat, offsets, n, L)
     for _ in range(rounds if len(word) and L > 1 else 0):
-        emission = np.add.reduceat(weights[flat], offsets, axis=0)[word]
-        marginal, alpha, beta, local, scale, move = chains.marginals(emission, transition, start)
-        pairs = move * ((alpha[later - 1].T) @ (beta[later] * local[later] / scale[later, None]))
-        by_word = np.stack([np.bincount(word, (onehot - marginal)[:, k], len(words)) for k in range(L)], axis=1)
-        by_feature = np.stack([np.bincount(flat, np.repeat(by_word[:, k], n), size) for k in range(L)], axis=1)
-        steps = (
-            (weights, by_feature / len(word) - 1e-7 * weights),
-            (transition, (gold_pairs - pairs) / len(word) - 1e-3 * transition),
-            (start, (gold_start - marginal[chains.begins].sum(axis=0)) / len(word) - 1e-3 * start),
-        )
-        for (value, slope), past in zip(steps, speed, strict=True):  # AdaGrad, ascent
+        _, *slopes = field.likelihood(weights, transition, start)
+        for value, slope, past, decay in zip((weights, transition, start), slopes, speed, (1e-7, 1e-3, 1e-3), strict=True):  # AdaGrad, ascent
+            slope = slope - decay * value
             past += slope * slope
             value += 0.3 * slope / np.sqrt(past)
     return LanguageModel(names, weights, transition, start, lexicon)
@@ -197,30 +219,29 @@ class Predictor:
                 yield (labels[k], min(1.0, max(0.0, float(row[k]) / n))) if n else (UNKNOWN, 0.0)
 
 
-def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = SAMPLE_DOCS, most_chars: int = SAMPLE_CHARS) -> list:
-    """At most ``per_language`` labelled rows of each language, chosen by a hash of the id."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    rows = rows.where(F.col("lang").isNotNull() & (F.length("text") <= most_chars))
-    found = few_of_each(rows, "lang", per_language, "id").select("lang", "text").collect()
-    return sorted(found, key=lambda r: (r["lang"], r["text"]))
+def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = SAMPLE_DOCS, most_chars: int = SAMPLE_CHARS, languages: int = SAMPLE_LANGUAGES) -> list:
+    """At most ``per_language`` labelled texts of each of the ``languages`` most frequent languages, chosen by a hash of id and text; of a longer one a stretch of ``most_chars``."""
+    text, lang = F.col(text_col).cast("string"), F.col(lang_col).cast("string")
+    rows = docs.select(text.alias("text"), lang.alias("lang"), F.xxhash64(id_col, text).alias("at")).where("lang is not null and text <> ''")
+    few = few_of_each(rows.select("lang", "at"), "lang", "at", per_language, languages)
+    begin = F.pmod(F.xxhash64("at"), F.greatest(F.lit(1).cast("long"), F.length("text") - most_chars + 1)) + 1
+    found = rows.join(F.broadcast(few), ["lang", "at"]).select("lang", "at", F.substr("text", begin.cast("int"), F.lit(most_chars)).alias("text"))
+    return sorted(found.dropDuplicates(["lang", "at"]).collect(), key=lambda r: (r["lang"], r["text"]))
 
 
-def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
-    """``id_col``, lang_pred and score (and ``extra`` columns as they are) of every row."""
-    rows = docs.select(F.col(text_col).cast("string").alias("__text"), id_col, *extra)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size
+def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", out: str = "found") -> DataFrame:
+    """``docs`` and the struct ``out`` of lang_pred and score; only the texts go through the workers."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**SPACE_BITS weights for each of at most SAMPLE_LANGUAGES languages
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("lang_pred string, score double")
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         predictor = Predictor(shared.value)
-        for batch in batches:
-            found = list(predictor.predict(batch.column(0).to_pylist()))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],
-                names=[*batch.schema.names[1:], "lang_pred", "score"],
-            )
+        for column in columns:
+            found = [x for texts in text_parts(column) for x in predictor.predict(texts)]
+            parts = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
+            yield pa.StructArray.from_arrays(parts, ["lang_pred", "score"])
 
-    kept = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes[1:])
-    return rows.mapInArrow(run, f"{kept}, lang_pred string, score double")
+    return docs.withColumn(out, run(F.col(text_col).cast("string")))
 
 
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -228,5 +249,5 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     held = F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
     learned = sample(docs.where(~held), id_col, text_col, lang_col)
     model = train([r["text"] for r in learned], [r["lang"] for r in learned])
-    out = identify(docs, model, id_col, text_col)
-    return out.select(id_col, F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    out = identify(docs.select(F.col(id_col).alias("id"), held.alias("held"), F.col(text_col).alias("text")), model)
+    return out.select(F.col("id").alias(id_col), F.coalesce("held", F.lit(False)).alias("held_out"), "found.lang_pred", "found.score")

@@ -1,82 +1,30 @@
-"""Reading tables and cutting lineage in storage that all executors share."""
+"""Reading tables, and bounded samples of large ones."""
 
 from __future__ import annotations
 
-import atexit
-import gc
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_SETTING = "spark.checkpoint.dir"
-_own: dict[str, str] = {}
+from tempora.storage import cut, release, shared_folder, unused
+
+__all__ = ["cut", "few_of_each", "release", "shared_folder", "table", "unused"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a temporary one only where none is named (tests)."""
-    named = spark.conf.get(_SETTING, None)
-    if named:
-        return named.rstrip("/")
-    if _SETTING not in _own:
-        _own[_SETTING] = "file://" + tempfile.mkdtemp(prefix="tempora-")
-    return _own[_SETTING]
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session may be gone when the interpreter ends
-        pass
-
-
-def cut(frame: DataFrame, by: str | None = None) -> DataFrame:
-    """Write ``frame`` as a table in the shared folder and read it back.
-
-    The plan that made it runs once, a lost executor costs no recomputation of it, and the reader
-    knows its real size. With ``by``, the column ``frame`` was grouped by, the table is bucketed, so
-    that joins on it needn't shuffle it. Shuffle files of finished plans go when the driver collects
-    its garbage, which is asked for here. The table is removed when the interpreter ends.
-    """
-    spark = frame.sparkSession
-    name = uuid.uuid4().hex
-    path = f"{shared_folder(spark)}/{name}"
-    writer = frame.write.option("compression", "zstd")
-    if by is None:
-        writer.parquet(path)
-    else:
-        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        writer.bucketBy(buckets, by).sortBy(by).option("path", path).saveAsTable(f"cut_{name}")
-        atexit.register(_drop, spark, f"cut_{name}")
-    atexit.register(_remove, spark, path)
-    del writer
-    gc.collect()
-    spark._jvm.System.gc()
-    return spark.table(f"cut_{name}") if by else spark.read.schema(frame.schema).parquet(path)
-
-
-def _drop(spark: SparkSession, table: str) -> None:
-    try:
-        spark.sql(f"DROP TABLE IF EXISTS {table}")
-    except Exception:  # the session may be gone when the interpreter ends
-        pass
-
-
-def few_of_each(rows: DataFrame, kind: str, most: int, *keys: str) -> DataFrame:
-    """At most ``most`` rows of each ``kind``: those of smallest hash of ``keys``.
+def few_of_each(rows: DataFrame, kind: str, at: str, most: int, kinds: int) -> DataFrame:
+    """(kind, at): at most ``most`` different ``at`` (a hash, a long) of each of the ``kinds`` most frequent kinds, the smallest.
 
-    The kinds are counted first, and only rows with a hash small enough for about three times
+    Different hashes are counted by kind first, and only those small enough for about three times
     ``most`` of their kind are ranked, so what a task ranks doesn't grow with the input.
     """
-    share = F.pmod(F.xxhash64(*keys), F.lit(1 << 40)) / float(1 << 40)
-    counts = rows.groupBy(kind).agg(F.count("*").alias("__n"))
-    near = rows.withColumn("__at", share).join(counts, kind).where(F.col("__at") * F.col("__n") <= 3 * most)
-    order = Window.partitionBy(kind).orderBy("__at", *keys)
-    return near.withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= most).drop("__at", "__n", "__place")
+    different = cut(rows.select(kind, at).distinct())
+    counts = different.groupBy(kind).agg(F.count("*").alias("n")).orderBy(F.desc("n"), kind).limit(kinds)
+    share = F.pmod(at, F.lit(1 << 40)) / float(1 << 40)
+    near = different.join(F.broadcast(counts), kind).where(share * F.col("n") <= 3 * most)  # at most ``kinds`` counts
+    order = Window.partitionBy(kind).orderBy(share, at)
+    out = cut(near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select(kind, at))
+    release(different)
+    return out

@@ -7,9 +7,10 @@ likelihood-ratio test and the log odds ratio; a feature that no clean document h
 other). Runs of over ``WORD_CHARS`` letters, as in text without spaces, give their n-grams throughout. Labels say only toxic or not; toxic sample documents are graded
 1..``GRADES`` by how many of their words have such a feature.
 
-The sample is at most ``SAMPLE_DOCS`` labelled documents of either kind, those of smallest hash, of
-at most ``SAMPLE_CHARS`` characters, near copies left out so that one copied text is no evidence by
-itself. Everything else covers whole texts and all rows.
+The sample is at most ``SAMPLE_DOCS`` labelled documents of either kind, those of smallest hash; a
+document of over ``SAMPLE_CHARS`` characters gives a stretch of that length from a place that the hash
+chooses. Of near copies with one label (word sets with a Jaccard similarity of 0.8) the first stays, so
+that a copied text is no evidence by itself. Everything else covers whole texts and all rows.
 
 Defined cases: a null or empty text has no features; without labelled rows of both kinds, or without
 a feature that stands out, every severity is 0 and nothing is toxic; repeated rows give equal
@@ -27,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tempora.llm.arrow import text_parts
 from tempora.llm.library_tokens import Ragged
 from tempora.llm.storage import few_of_each
 from tempora.llm.word_table import WordTable, character_classes
@@ -106,21 +108,31 @@ class Counter:
         return cell // width, cell % width, count, np.concatenate(size)
 
 
-def _distinct(texts: list[str]) -> list[int]:
-    """One of each group of near copies: those that share the smallest hashes of their words."""
-    seen, kept = set(), []
+def without_copies(texts: list[str], labels: list[int], similarity: float = 0.8, rounds: int = 64, rows: int = 2) -> list[int]:
+    """The texts that stay when later near copies with the same label go: those whose sets of words reach ``similarity``.
+
+    Texts meet where ``rows`` of ``rounds`` smallest hashes agree, in order; the sets themselves decide.
+    """
     words: list[str] = []
     table = WordTable(character_classes(), words.extend, None, limit=sum(map(len, texts)) // 7 + 1000)
-    at = 0
+    sets: list[np.ndarray] = []
     for chars, begins in table.blocks([t.lower() for t in texts]):
         starts, ends = table.borders(chars)
-        numbers = table.numbered(chars, starts, ends).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        for a, b in zip(*(np.searchsorted(starts, begins[k : len(begins) - 1 + k]).tolist() for k in (0, 1)), strict=True):
-            least = tuple(np.unique(numbers[a:b])[:3].tolist())
-            if least not in seen:
-                seen.add(least)
-                kept.append(at)
-            at += 1
+        numbers = table.numbered(chars, starts, ends)
+        cuts = np.searchsorted(starts, begins)
+        sets += [np.unique(numbers[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+    values = np.random.default_rng(7).integers(0, 1 << 62, (rounds, len(words) + 1))
+    seen: dict[tuple, list[int]] = {}
+    kept: list[int] = []
+    for k, own in enumerate(sets):
+        least = values[:, own].min(axis=1) if len(own) else np.zeros(rounds, np.int64)
+        keys = [(labels[k], at, *least[at : at + rows].tolist()) for at in range(0, rounds, rows)]
+        others = {j for key in keys for j in seen.get(key, ())}
+        if any((both := len(np.intersect1d(own, sets[j], assume_unique=True))) >= similarity * (len(own) + len(sets[j]) - both) for j in sorted(others)):
+            continue
+        kept.append(k)
+        for key in keys:
+            seen.setdefault(key, []).append(k)
     return kept
 
 
@@ -133,9 +145,28 @@ def likelihood_ratio(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarr
     return out
 
 
+def likelihood(x: np.ndarray, grade: np.ndarray, w: np.ndarray, t: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The mean log-likelihood of the grades, and its slopes in ``w`` and ``t``: the first threshold and the logarithms of the gaps."""
+    n, grades = len(grade), len(t)
+    gaps = np.exp(t[1:])
+    theta = t[0] + np.concatenate(([0.0], np.cumsum(gaps)))
+    p = 1 / (1 + np.exp(np.clip(theta - (x @ w)[:, None], -500, 500)))
+    # P(grade = k) is a difference of neighbours: its slope in the score and in each threshold
+    at_least = np.concatenate((np.ones((n, 1)), p, np.zeros((n, 1))), axis=1)
+    slope = np.concatenate((np.zeros((n, 1)), p * (1 - p), np.zeros((n, 1))), axis=1)
+    rows = np.arange(n)
+    exact = np.maximum(at_least[rows, grade] - at_least[rows, grade + 1], 1e-12)
+    by_score = (slope[rows, grade] - slope[rows, grade + 1]) / exact
+    by_theta = np.zeros((n, grades + 2))
+    by_theta[rows, grade] -= slope[rows, grade] / exact
+    by_theta[rows, grade + 1] += slope[rows, grade + 1] / exact
+    tail = np.cumsum(by_theta[:, 1 : grades + 1].mean(axis=0)[::-1])[::-1]
+    return float(np.log(exact).mean()), x.T @ by_score / n, np.concatenate((tail[:1], tail[1:] * gaps))
+
+
 def train(texts: list[str], toxic: list[int], grades: int = GRADES, rounds: int = ROUNDS) -> ToxicityModel:
     none = ToxicityModel({}, np.zeros(0), np.zeros(0))
-    kept = _distinct(texts)
+    kept = without_copies(texts, toxic)
     texts, y = [texts[k] for k in kept], np.array([int(toxic[k]) for k in kept], np.int64)
     n1, n0 = int(y.sum()), int((1 - y).sum())
     if not n1 or not n0:
@@ -192,21 +223,8 @@ def train(texts: list[str], toxic: list[int], grades: int = GRADES, rounds: int
     w, t = np.zeros(x.shape[1]), np.concatenate(([0.0], np.zeros(grades - 1)))
     past = [[np.zeros_like(v), np.zeros_like(v)] for v in (w, t)]
     for step in range(1, rounds + 1):
-        gaps = np.exp(t[1:])
-        theta = t[0] + np.concatenate(([0.0], np.cumsum(gaps)))
-        p = 1 / (1 + np.exp(np.clip(theta - (x @ w)[:, None], -500, 500)))
-        # P(grade = k) is a difference of neighbours: its slope in the score and in each threshold
-        at_least = np.concatenate((np.ones((len(y), 1)), p, np.zeros((len(y), 1))), axis=1)
-        slope = np.concatenate((np.zeros((len(y), 1)), p * (1 - p), np.zeros((len(y), 1))), axis=1)
-        rows = np.arange(len(y))
-        exact = np.maximum(at_least[rows, grade] - at_least[rows, grade + 1], 1e-12)
-        by_score = (slope[rows, grade] - slope[rows, grade + 1]) / exact
-        by_theta = np.zeros((len(y), grades + 2))
-        by_theta[rows, grade] -= slope[rows, grade] / exact
-        by_theta[rows, grade + 1] += slope[rows, grade + 1] / exact
-        by_theta = by_theta[:, 1 : grades + 1].mean(axis=0)
-        tail = np.cumsum(by_theta[::-1])[::-1]
-        for v, g, m in ((w, x.T @ by_score / len(y) - DECAY * w, past[0]), (t, np.concatenate((tail[:1], tail[1:] * gaps)), past[1])):
+        _, by_w, by_t = likelihood(x, grade, w, t)
+        for v, g, m in ((w, by_w - DECAY * w, past[0]), (t, by_t, past[1])):
             m[0] = 0.9 * m[0] + 0.1 * g
             m[1] = 0.999 * m[1] + 0.001 * g * g
             v += RATE * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.999**step)) + 1e-8)
@@ -215,38 +233,38 @@ def train(texts: list[str], toxic: list[int], grades: int = GRADES, rounds: int
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_kind: int = SAMPLE_DOCS, most_chars: int = SAMPLE_CHARS) -> list:
-    """At most ``per_kind`` labelled rows of either kind, chosen by a hash of the text."""
-    known = labels.select(F.col(id_col).alias("__id"), (F.col(label_col) > 0).cast("int").alias("toxic")).where("toxic is not null")
-    known = known.groupBy("__id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).where(F.length("text") <= most_chars)
-    # the choice is made on ids alone; texts join the few that stay
-    marked = rows.select("__id").join(known, "__id")
-    few = F.broadcast(few_of_each(marked, "toxic", per_kind, "__id").select("__id", "toxic").distinct())  # at most 2 * per_kind rows
-    found = rows.join(few, "__id").select("text", "toxic", "__id").collect()
-    return sorted(found, key=lambda r: (r["__id"], r["text"]))
-
-
-def severities(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
-    """``id_col``, severity, grade, p_toxic and toxic (and ``extra`` columns as they are) of every row."""
-    rows = docs.select(F.col(text_col).cast("string").alias("__text"), id_col, *extra)
+    """At most ``per_kind`` labelled texts of either kind, chosen by a hash of id and text; of a longer one a stretch of ``most_chars``."""
+    known = labels.select(F.col(id_col).alias("id"), (F.col(label_col) > 0).cast("int").alias("toxic")).where("toxic is not null")
+    known = known.groupBy("id").agg(F.max("toxic").alias("toxic"))
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(id_col, text).alias("at")).where("text <> ''")
+    # the choice is made on hashes alone; texts join the few that stay
+    few = few_of_each(rows.select("id", "at").join(known, "id"), "toxic", "at", per_kind, 2)
+    begin = F.pmod(F.xxhash64("at"), F.greatest(F.lit(1).cast("long"), F.length("text") - most_chars + 1)) + 1
+    found = rows.join(F.broadcast(few), "at").select("id", "at", "toxic", F.substr("text", begin.cast("int"), F.lit(most_chars)).alias("text"))
+    return sorted(found.dropDuplicates(["at"]).collect(), key=lambda r: (r["id"], r["text"]))
+
+
+def severities(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out: str = "found") -> DataFrame:
+    """``docs`` and the struct ``out`` of severity, grade, p_toxic and toxic; only the texts go through the workers."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of at most MAX_FEATURES features
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("severity double, grade int, p_toxic double, toxic boolean")
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
         counter = Counter(model.features)
-        for batch in batches:
-            p = model.at_least(model.scores(batch.column(0).to_pylist(), counter))
+        for column in columns:
+            parts = [model.at_least(model.scores(texts, counter)) for texts in text_parts(column)]
+            p = np.concatenate(parts) if parts else np.zeros((0, max(1, len(model.thresholds))))
             exact = -np.diff(np.concatenate((np.ones((len(p), 1)), p, np.zeros((len(p), 1))), axis=1), axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], pa.array(p.sum(axis=1)), pa.array(exact.argmax(axis=1).astype(np.int32)), pa.array(p[:, 0]), pa.array(p[:, 0] >= TOXIC_AT)],
-                names=[*batch.schema.names[1:], "severity", "grade", "p_toxic", "toxic"],
-            )
+            columns_ = [pa.array(p.sum(axis=1)), pa.array(exact.argmax(axis=1).astype(np.int32)), pa.array(p[:, 0]), pa.array(p[:, 0] >= TOXIC_AT)]
+            yield pa.StructArray.from_arrays(columns_, ["severity", "grade", "p_toxic", "toxic"])
 
-    kept = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes[1:])
-    return rows.mapInArrow(run, f"{kept}, severity double, grade int, p_toxic double, toxic boolean")
+    return docs.withColumn(out, run(F.col(text_col).cast("string")))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """Learn from the labelled rows of ``docs`` and grade all rows."""
     learned = sample(docs, labels, id_col, text_col, label_col)
-    return severities(docs, train([r["text"] for r in learned], [r["toxic"] for r in learned]), id_col, text_col)
+    model = train([r["text"] for r in learned], [r["toxic"] for r in learned])
+    return severities(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), model).select(F.col("id").alias(id_col), "found.*")

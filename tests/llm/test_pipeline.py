@@ -79,3 +79,34 @@ def test_near_duplicates_with_repeated_ids(spark):
         docs = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
         out = pipeline.near_duplicates(spark, docs, SF).collect()
         assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in out) == expected
+
+
+def test_stages_with_odd_rows(spark):
+    """Nulls, empty and very long texts, ties, repeated rows and ids, and columns of any name."""
+    good = spark.read.parquet(f"{FOLDER}/documents.parquet").where("lang is not null").select("doc_id", "text", "lang").orderBy("doc_id").limit(60)
+    clean = [r["text"] for r in good.orderBy("doc_id").collect()]
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in good.collect()]
+    long = " ".join(clean) * 4
+    odd = [(None, clean[0], "x"), (None, None, None), (70_000, None, "x"), (70_001, "", "x"), (70_002, "12 ...", None), (70_003, long, None), (70_004, long, None)]
+    odd += [(70_005, clean[1] + " a", None), (70_005, clean[2] + " b", None), (70_006, clean[3], None), (70_006, clean[3], None)]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string")
+    for name in ("verdict", "mark", "row", "kept", "component", "fp", "my col", "a`b", "found", "__text", "pack_group"):
+        docs = docs.withColumn(name, F.lit(name))
+    for name, stage in pipeline.STAGES[:4]:
+        before = docs
+        docs = spark.createDataFrame(stage(spark, docs, FOLDER).collect(), before.schema)
+        assert docs.columns == before.columns and all(r["my col"] == "my col" and r["a`b"] == "a`b" for r in docs.collect()), name
+        left = docs.groupBy("doc_id").count().collect()
+        left = {r["doc_id"]: r["count"] for r in left}
+        if name == "language ID":
+            assert 70_000 not in left and 70_001 not in left and 70_002 not in left
+            assert left[None] == 1 and left[70_003] == 1 and left[70_005] == 2 and left[70_006] == 2
+        if name == "SimHash near-dedup":
+            assert max(left.values()) <= 2
+    pieces = pipeline.packed(spark, docs, FOLDER).collect()
+    assert {r["doc_id"] for r in pieces} == {r["doc_id"] for r in docs.collect()}
+
+
+def test_run_reads_its_own_tables(spark):
+    first = sorted(map(tuple, pipeline.run(spark, SF).collect()), key=str)
+    assert first and first == sorted(map(tuple, pipeline.run(spark, SF).collect()), key=str)
