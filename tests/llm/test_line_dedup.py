@@ -73,3 +73,53 @@ def test_op2(spark):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()]
     expected = {docs[k][0]: v for k, v in plain(docs).items()}
     assert removed_places(queries.op2_line_dedup(spark, SF).collect()) == expected
+
+
+def test_hot_words_and_dense_groups(spark):
+    """A word that many lines share, and a group of near copies larger than ``COMMON_LEAST``, among other lines."""
+    rng = random.Random(5)
+    words = ["w%d" % i for i in range(400)]
+    base = [f"rare{i}" for i in range(20)]
+    texts = []
+    for k in range(150):  # near copies of one line, some of them far from the first
+        line = [*base]
+        for _ in range(k % 6):
+            line[rng.randrange(20)] = rng.choice(words)
+        texts.append(" ".join(line))
+    texts += [" ".join(["hot", *rng.sample(words, 6)]) for _ in range(150)]  # lines of one common word
+    texts += [" ".join(rng.choices(words[:20], k=6)) for _ in range(150)]
+    rng.shuffle(texts)
+    got = line_dedup.line_report(docs_frame(spark, texts)).collect()
+    expected = plain(list(enumerate(texts)))
+    assert removed_places(got) == expected and sum(map(len, expected.values())) > 100
+    again = line_dedup.kept_lines(docs_frame(spark, texts), buckets=8).collect()  # without any rarity to speak of
+    assert sorted(r["id"] for r in again) == [k for k, v in expected.items() if not v]
+
+
+def test_lines_with_equal_hashes(spark):
+    texts = varied(3, 60)
+    lines = {(r["id"], r["pos"]) for r in line_dedup.kept_lines(docs_frame(spark, texts), bits=5).collect()}
+    assert lines == {(r["id"], r["pos"]) for r in line_dedup.kept_lines(docs_frame(spark, texts)).collect()}
+
+
+def test_lines_of_many_words(spark):
+    rng = random.Random(9)
+    words = ["v%d" % i for i in range(900)]
+    texts = []
+    for n in (112, 150, 300, 600):
+        for _ in range(4):
+            base = rng.sample(words, n)
+            texts += [" ".join(base), " ".join(base[int(n * s):]) if (s := rng.choice([0.1, 0.2, 0.3])) else "", " ".join(rng.sample(base, len(base)))]
+    got = line_dedup.line_report(docs_frame(spark, texts)).collect()
+    assert removed_places(got) == plain(list(enumerate(texts)))
+
+
+def test_any_column_names(spark):
+    from pyspark.sql import functions as F
+
+    frame = docs_frame(spark, ["a b c\nx y", "a b c", None])
+    for name in ("row", "row2", "kept", "__row", "__kept", "lh", "my col"):
+        frame = frame.withColumn(name, F.lit(name))
+    out = line_dedup.remove_lines(frame)
+    assert out.columns == frame.columns
+    assert [(r["text"], r["kept"], r["my col"]) for r in out.orderBy("doc_id").collect()] == [("a b c\nx y", "kept", "my col"), ("", "kept", "my col"), (None, "kept", "my col")]
