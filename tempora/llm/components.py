@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.storage import cut
+from tempora.llm.storage import cut, release
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -32,12 +32,15 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         pointers.append(best)
         moved = pairs.join(best.select(F.col("node").alias("u"), F.col("parent").alias("pu")), "u")
         moved = moved.join(best.select(F.col("node").alias("v"), F.col("parent").alias("pv")), "v").where("pu <> pv")
-        pairs = cut(moved.select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct())
+        before, pairs = pairs, cut(moved.select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct())
+        release(before)
     if not pointers:
         return pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
     labels = pointers.pop()
     while pointers:
         after = labels.select(F.col("node").alias("parent"), F.col("parent").alias("root"))
-        labels = cut(pointers.pop().join(after, "parent", "left").select("node", F.coalesce("root", "parent").alias("parent")))
+        before, own = labels, pointers.pop()
+        labels = cut(own.join(after, "parent", "left").select("node", F.coalesce("root", "parent").alias("parent")))
+        release(before, own)
     least = labels.groupBy("parent").agg(F.min("node").alias("least"))
     return labels.join(least, "parent").select("node", F.least("least", "parent").alias("component"))

@@ -1,23 +1,25 @@
 """Embedding near-duplicates by sorted projection passes.
 
-Each pass orders the vectors of a label (of one length) lexicographically by a code of ``CODE``
-concatenated random projection bits (signs of the shifted vector on random directions, read as a
-reflected Gray code, so that runs on either side of a border differ in one bit) and compares windows of neighbours in that order; pairs that a cosine in double precision verifies are united over
-the passes. A window is a run with equal leading bits, whose number makes it ``WINDOW`` vectors long
-on average; and at every border between two neighbouring runs, the last quarter of a ``WINDOW`` of
-vectors before it with as many after it, so that windows cross code borders. A run over ``BLOCK``
-vectors is cut into blocks and every two blocks are compared in a task of their own, so no vector of
-a dense run goes uncompared and no task is larger than two blocks.
-
-Leading bits and passes are chosen for each label and vector length. Vectors are shifted by the
-largest part of their own centre with which a pair at the threshold, lying anywhere, the vector
-nearest to the shifted origin included, meets in at least one pass with probability ``RECALL``;
-closer pairs meet more surely. Unshifted unit vectors all have length 1, so some part always does.
-A label of at most ``WINDOW`` different vectors is one run, compared whole in one pass.
-
-Equal vectors of a label are collapsed first and only counted, and a task emits for each vector how
-many others it links (a pair counts in the first pass in which it meets) and one link of a spanning
-forest: never all pairs of a group.
+Each pass orders all vectors lexicographically by their label (and length) and a code of ``CODE``
+concatenated random projection bits: signs of the shifted vector on random directions, read as a
+reflected Gray code, so that neighbouring codes differ in one bit. The order is made by ranges, with
+ranks that are summed over them. Vectors of a label are compared if their ranks differ by at most
+``WINDOW``, wherever ranges, codes or blocks end. A dense run, of over ``WINDOW`` vectors with equal
+leading bits, is in addition compared whole, by pairs of blocks of ``BLOCK`` vectors in tasks of their
+own, so no vector of it goes uncompared and no task is larger than two blocks. Pairs that a cosine in
+double precision verifies are united over the passes. All labels, small or large, take this way.
+
+Leading bits and passes are chosen for each label and length: as many bits as make runs ``WINDOW``
+vectors long or shorter on average, and so many passes, at least ``LEAST_PASSES``, that a pair at the
+threshold has equal leading bits in one of them with probability ``RECALL`` wherever it lies; windows
+find pairs beyond that, and closer pairs meet more surely. For that, vectors are shifted by the
+largest part of their label's centre that allows it, judged by the vector nearest to the shifted
+origin; unshifted unit vectors all have length 1, so some part always does.
+
+Equal vectors of a label are collapsed first and only counted. A task emits for each vector how many
+others it links and one link of a spanning forest: never all pairs of a group. A pair counts in the
+first pass in which it meets, which its ranks and leading bits tell. ``PASSES_A_JOB`` passes are
+compared at a time, so that vectors are on disk a few times only, however many passes there are.
 
 Defined cases: null vectors, labels, zero vectors and vectors with null or non-finite components
 link with nothing; vectors of different lengths don't link; repeated rows are copies of each other;
@@ -26,80 +28,91 @@ a null id stays alone in its component; an empty table gives no rows; other colu
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempora.llm.components import components
 from tempora.llm.simhash import roots
-from tempora.llm.storage import cut
+from tempora.llm.storage import cut, release
 
 THRESHOLD = 0.93
-WINDOW = 512
-BLOCK = 4096
-RECALL = 0.9995
+WINDOW = 256
+BLOCK = 2048
+RECALL = 0.999
+LEAST_PASSES = 3
 MOST_PASSES = 64
+PASSES_A_JOB = 2
 CODE = 40
+MOST_BITS = 24
 SHIFTS = (1.0, 0.75, 0.5, 0.25, 0.0)
 SEED = 20_250
 
 
 def wanted_bits(vectors: int, window: int) -> int:
-    """Leading bits with which a run is ``window`` vectors long on average."""
-    return min(24, max(0, math.ceil(math.log2(max(1, vectors) / window))))
+    """Leading bits with which a run is at most ``window`` vectors long on average."""
+    return min(MOST_BITS, max(1, math.ceil(math.log2(max(1, vectors) / window))))
 
 
 def passes(vectors: int, threshold: float, radius: float, window: int = WINDOW, recall: float = RECALL) -> tuple[int, int]:
     """(leading bits, passes). ``radius``: the least length of a shifted unit vector.
 
-    Where more than ``MOST_PASSES`` would be needed, fewer bits and so longer windows are taken.
+    Where more than ``MOST_PASSES`` would be needed, fewer bits and so longer runs are taken.
     """
     gap = math.sqrt(max(0.0, 2 - 2 * threshold))
     apart = 2 * math.asin(min(1.0, gap / (2 * max(radius, 1e-9)))) / math.pi
-    bits = wanted_bits(vectors, window)
-    while bits:
+    for bits in range(wanted_bits(vectors, window), 0, -1):
         meet = (1 - apart) ** bits
         turns = math.ceil(math.log(1 - recall) / math.log(1 - meet)) if 0 < meet < 1 else MOST_PASSES + 1
         if turns <= MOST_PASSES:
-            return bits, turns
-        bits -= 1
-    return 0, 1
+            return bits, max(LEAST_PASSES, turns)
+    return 0, LEAST_PASSES  # one run, compared whole
 
 
-def shifted(vectors: int, threshold: float, centre: np.ndarray, most: float, window: int = WINDOW, recall: float = RECALL) -> tuple[float, int, int]:
-    """(part of the centre to shift by, leading bits, passes). ``most``: the largest inner product of a vector and the centre.
+def shifted(vectors: int, threshold: float, size: float, most: float, window: int = WINDOW, recall: float = RECALL) -> tuple[float, int, int]:
+    """(part of the centre to shift by, leading bits, passes).
 
-    The largest part that keeps all leading bits; unshifted vectors where none does.
+    ``size``: the centre's squared length; ``most``: the largest inner product of a vector and the
+    centre. The largest part that keeps all leading bits; unshifted vectors where none does.
     """
     wanted = wanted_bits(vectors, window)
     for part in SHIFTS:
-        radius = math.sqrt(max(0.0, 1 - 2 * part * most + part * part * float(centre @ centre)))
+        radius = math.sqrt(max(0.0, 1 - 2 * part * most + part * part * size))
         bits, turns = passes(vectors, threshold, radius, window, recall)
         if bits == wanted:
             break
     return part, bits, turns
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Rows of a list column whose lists are equally long, in double precision."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
 def _unit(column: pa.Array) -> np.ndarray:
-    """Rows of a list column whose lists are equally long, as unit vectors in double precision."""
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    x = flat.reshape(len(column), -1)
+    x = _matrix(column)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Whole groups of rows that come sorted by ``key``."""
+@functools.lru_cache(maxsize=256)
+def _planes(seed: int, dims: int, turn: int) -> np.ndarray:
+    return np.random.default_rng([seed, dims, turn]).standard_normal((dims, CODE))
+
+
+def _groups(batches: Iterator[pa.RecordBatch], key: str, most: int | None = None) -> Iterator[pa.Table]:
+    """Whole groups of rows that come sorted by ``key``; with ``most``, parts of them of so many rows or a batch's more."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         values = batch.column(key).to_numpy()
         cuts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if held and held[0].column(key)[0].as_py() != values[a]:
+            if held and (held[0].column(key)[0].as_py() != values[a] or most and sum(map(len, held)) >= most):
                 yield pa.Table.from_batches(held)
                 held = []
             held.append(batch.slice(a, b - a))
@@ -107,164 +120,196 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _compared(units: np.ndarray, block: np.ndarray, runs: np.ndarray, after: np.ndarray, before: np.ndarray, turn: int, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Verified index pairs of one task that have not met in an earlier pass.
+def _planned(wide: DataFrame, threshold: float, window: int, recall: float) -> DataFrame:
+    """(kind, centre, bits, turns): by how much the vectors of a label and length are shifted, their leading bits and passes."""
 
-    ``runs``: each vector's run by pass; ``after`` and ``before``: the borders after and before which it stands, or 0.
-    """
-    left = np.flatnonzero(block == 0)
-    right = np.flatnonzero(block == 1)
-    alone = not len(right)
-    if alone:
-        right = left
-    for k in range(0, len(left), 512):
-        rows = left[k : k + 512]
-        others = right[k:] if alone else right
-        i, j = np.nonzero(units[rows] @ units[others].T >= threshold)
-        if alone:
-            later = j > i
-            i, j = i[later], j[later]
-        i, j = rows[i], others[j]
-        first = np.ones(len(i), bool)
-        for earlier in range(turn):
-            first &= runs[i, earlier] != runs[j, earlier]
-            for x, y in ((i, j), (j, i)):
-                first &= (before[x, earlier] == 0) | (before[x, earlier] != after[y, earlier])
-        if first.any():
-            yield i[first], j[first]
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _groups(batches, "kind", BLOCK):
+            total = _unit(part.column("v").combine_chunks()).sum(axis=0).tolist()
+            yield pa.RecordBatch.from_arrays([part.column("kind").combine_chunks()[:1], pa.array([part.num_rows]), pa.array([total], pa.list_(pa.float64()))], names=["kind", "size", "total"])
 
+    parts = wide.select("kind", "v").sortWithinPartitions("kind").mapInArrow(summed, "kind long, size long, total array<double>")
+    sums = parts.select("kind", F.posexplode("total").alias("axis", "x"), "size").groupBy("kind", "axis").agg(F.sum("x").alias("x"), F.sum("size").alias("size"))
+    total = F.transform(F.array_sort(F.collect_list(F.struct("axis", F.col("x") / F.col("size")))), lambda p: p["col2"])
+    centres = cut(sums.groupBy("kind").agg(F.first("size").alias("size"), total.alias("centre")))
 
-def near_duplicates(
-    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
-    threshold: float = THRESHOLD, window: int = WINDOW, block: int = BLOCK, recall: float = RECALL, seed: int = SEED,
-) -> DataFrame:
-    """``id_col``, n_links, component_id and kept of every row."""
-    spark = vectors.sparkSession
-    element = F.col("v")
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.col(label_col).alias("label"))
-    double = F.transform(element, lambda x: x.cast("double"))
-    sound = element.isNotNull() & (F.size("v") > 0) & ~F.exists(double, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    sound &= F.exists(double, lambda x: x != 0) & F.col("label").isNotNull()
-    keys = [F.when(sound, F.xxhash64(F.lit(k), "label", "v")).alias(f"h{k}") for k in range(2)]
-    keyed = cut(rows.select("id", *keys))
-    grouped = rows.where(sound).select("id", "v", "label", *keys).groupBy("h0", "h1")
-    distinct = grouped.agg(F.min("id").alias("least"), F.count("*").alias("n"), F.first("v").alias("v"), F.first("label").alias("label"))
-    distinct = cut(distinct.withColumn("node", F.monotonically_increasing_id()).withColumn("dims", F.size("v")))
+    def farthest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _groups(batches, "kind", BLOCK):
+            centre = _matrix(part.column("centre").combine_chunks()[:1])[0]
+            most = float((_unit(part.column("v").combine_chunks()) @ centre).max())
+            yield pa.RecordBatch.from_arrays([part.column("kind").combine_chunks()[:1], pa.array([most])], names=["kind", "most"])
 
-    sizes = distinct.groupBy("label", "dims").count()
-    # only what doesn't fit in one window is centred: at most one row for each ``window`` vectors comes to the driver
-    groups = sizes.where(F.col("count") > window).select(F.xxhash64("label", "dims").alias("kind"), "count").collect()
-    count = {r["kind"]: r["count"] for r in groups}
-    wide = distinct.withColumn("kind", F.xxhash64("label", "dims"))
-    some = wide.select("kind", "dims", "v").join(F.broadcast(spark.createDataFrame([(k,) for k in count], "kind long")), "kind") if count else None
+    rows = wide.select("kind", "v").join(centres.select("kind", "centre"), "kind").sortWithinPartitions("kind")
+    most = rows.mapInArrow(farthest, "kind long, most double").groupBy("kind").agg(F.max("most").alias("most"))
 
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _groups(batches, "kind"):
-            total = _unit(part.column("v").combine_chunks()).sum(axis=0).tolist()
-            yield pa.RecordBatch.from_arrays([part.column("kind").combine_chunks()[:1], pa.array([total], pa.list_(pa.float64()))], names=["kind", "total"])
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                centre = np.array(r["centre"])
+                part, bits, turns = shifted(r["size"], threshold, float(centre @ centre), r["most"], window, recall)
+                rows.append({"kind": r["kind"], "centre": (part * centre).tolist(), "bits": bits, "turns": turns})
+            yield pa.RecordBatch.from_pylist(rows, schema=_PLAN)
 
-    centre: dict[int, np.ndarray] = {}
-    if count:
-        parts = some.sortWithinPartitions("kind").mapInArrow(summed, "kind long, total array<double>")
-        parts = parts.select("kind", F.posexplode("total").alias("axis", "x")).groupBy("kind", "axis").agg(F.sum("x").alias("x"))
-        parts = parts.groupBy("kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("axis", "x"))), lambda p: p["x"]).alias("total"))
-        centre = {r["kind"]: np.array(r["total"]) / count[r["kind"]] for r in parts.collect()}
+    out = cut(centres.join(most, "kind").select("kind", "size", "centre", "most").mapInArrow(chosen, "kind long, centre array<double>, bits int, turns int"))
+    release(centres)
+    return out
 
-    def farthest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _groups(batches, "kind"):
-            kind = part.column("kind")[0].as_py()
-            most = float((_unit(part.column("v").combine_chunks()) @ centre[kind]).max())
-            yield pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([most])], names=["kind", "most"])
 
-    plan: dict[int, tuple[float, int, int]] = {}
-    if count:
-        found = some.sortWithinPartitions("kind").mapInArrow(farthest, "kind long, most double").groupBy("kind").agg(F.max("most").alias("most"))
-        plan = {r["kind"]: shifted(count[r["kind"]], threshold, centre[r["kind"]], r["most"], window, recall) for r in found.collect()}
+_PLAN = pa.schema([("kind", pa.int64()), ("centre", pa.list_(pa.float64())), ("bits", pa.int32()), ("turns", pa.int32())])
+
+
+def _ranked(wide: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
+    """(node, turn, kind, lead, rank): the place of each vector in each pass's order, and its leading bits."""
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = 1 << np.arange(CODE, dtype=np.int64)[::-1]
-        for part in _groups(batches, "kind"):
-            kind = part.column("kind")[0].as_py()
-            share, bits, turns = plan.get(kind, (0.0, 0, 1))
-            units = _unit(part.column("v").combine_chunks()) if bits else np.zeros((part.num_rows, 1))
-            moved = units - share * centre[kind] if bits else units
-            codes = np.zeros((len(units), turns), np.int64)
-            for turn in range(turns if bits else 0):
-                planes = np.random.default_rng([seed, units.shape[1], turn]).standard_normal((moved.shape[1], CODE))
-                codes[:, turn] = (np.cumsum(moved @ planes >= 0, axis=1) & 1) @ weights
+        for part in _groups(batches, "kind", BLOCK):
+            column = {n: part.column(n).combine_chunks() for n in part.column_names}
+            moved = _unit(column["v"]) - _matrix(column["centre"][:1])
+            turns = column["turns"][0].as_py()
+            codes = np.empty((len(moved), turns), np.int64)
+            for turn in range(turns):
+                codes[:, turn] = (np.cumsum(moved @ _planes(seed, moved.shape[1], turn) >= 0, axis=1) & 1) @ weights
             codes = pa.ListArray.from_arrays(np.arange(0, codes.size + 1, turns, dtype=np.int32), pa.array(codes.ravel()))
-            yield pa.RecordBatch.from_arrays([part.column("node").combine_chunks(), codes, pa.array(np.full(len(units), bits, np.int32))], names=["node", "codes", "bits"])
-
-    codes = wide.select("node", "kind", "v").sortWithinPartitions("kind").mapInArrow(coded, "node long, codes array<long>, bits int")
-    full = cut(wide.select("node", "n", "kind", "v").join(codes, "node"))
-    placed = full.select("node", F.posexplode("codes").alias("turn", "code"), "kind", "bits")
-    lead = F.expr(f"shiftright(code, {CODE} - bits)")
-    placed = cut(placed.select("node", "turn", "code", "kind", lead.alias("lead"), F.xxhash64("turn", "kind", lead).alias("run"), "bits"))
-    # borders: the last vectors of a run and the first of the next one
-    split = placed.where("bits > 0")
-    runs = split.select("kind", "turn", "lead", "run").distinct()
-    runs = runs.withColumn("next", F.lead("run").over(Window.partitionBy("kind", "turn").orderBy("lead")))
-    runs = cut(runs.where("next is not null").select("run", "next", F.xxhash64("run", "next", F.lit("border")).alias("border")))
-    reach = max(1, window // 4)
-
-    def ends(way: str) -> DataFrame:
-        order = Window.partitionBy("run").orderBy(*[getattr(F.col(c), way)() for c in ("code", "node")])
-        return split.select("run", "node", "turn", "code").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= reach)
-
-    last = ends("desc").join(runs.select("run", "border"), "run").select("node", "turn", F.col("border").alias("task"), F.lit(0).alias("side"))
-    first = ends("asc").join(runs.select(F.col("next").alias("run"), "border"), "run").select("node", "turn", F.col("border").alias("task"), F.lit(1).alias("side"))
-    borders = cut(last.unionByName(first))
-    held = borders.groupBy("node").agg(
-        F.collect_list(F.when(F.col("side") == 0, F.struct("turn", "task"))).alias("after"), F.collect_list(F.when(F.col("side") == 1, F.struct("turn", "task"))).alias("before"),
-    )
+            yield pa.RecordBatch.from_arrays([column["node"], column["kind"], column["bits"], codes], names=["node", "kind", "bits", "codes"])
+
+    rows = wide.select("node", "kind", "v").join(plan, "kind").sortWithinPartitions("kind")
+    codes = cut(rows.mapInArrow(coded, "node long, kind long, bits int, codes array<long>"))
+    placed = codes.select("node", "kind", "bits", F.posexplode("codes").alias("turn", "code"))
+    placed = placed.repartitionByRange("turn", "kind", "code", "node").sortWithinPartitions("turn", "kind", "code", "node")
+    lead = F.expr(f"cast(shiftright(code, {CODE} - bits) as int)")
+    placed = cut(placed.select("node", "turn", "kind", lead.alias("lead"), F.monotonically_increasing_id().alias("at")))
+    part = F.shiftright("at", 33)
+    sizes = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n"))  # a row for each range
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    out = placed.withColumn("part", part).join(F.broadcast(before), "part")
+    out = cut(out.select("node", "turn", "kind", "lead", (F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("rank")))
+    release(codes, placed)
+    return out
+
+
+def _in_windows(units: np.ndarray, kind: np.ndarray, rank: np.ndarray, window: int, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Linked index pairs with ranks at most ``window`` apart; rows come by rank."""
+    for a in range(0, len(rank), window):
+        b = min(a + window, len(rank))
+        c = int(np.searchsorted(rank, rank[b - 1] + window, side="right"))
+        i, j = np.nonzero(units[a:b] @ units[a:c].T >= threshold)
+        i, j = i + a, j + a
+        gap = rank[j] - rank[i]
+        near = (gap > 0) & (gap <= window) & (kind[i] == kind[j])
+        yield i[near], j[near]
+
+
+def _in_blocks(units: np.ndarray, side: np.ndarray, rank: np.ndarray, window: int, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Linked index pairs with ranks more than ``window`` apart, within one block or between two."""
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    alone = not len(right)
+    for k in range(0, len(left), 512):
+        rows, others = left[k : k + 512], left[k:] if alone else right
+        i, j = np.nonzero(units[rows] @ units[others].T >= threshold)
+        i, j = rows[i], others[j]
+        far = np.abs(rank[i] - rank[j]) > window
+        if alone:
+            far &= rank[i] < rank[j]
+        yield i[far], j[far]
 
-    large = placed.groupBy("run").count().where(F.col("count") > block).select("run", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    placed = placed.join(large, "run", "left")
-    own = F.pmod(F.xxhash64("node", "turn"), F.coalesce("blocks", F.lit(1))).cast("int")
-    placed = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
-    placed = placed.select(
-        "node", "turn", F.xxhash64("run", F.least("own", "other"), F.greatest("own", "other")).alias("task"),
-        (F.col("own") > F.col("other")).cast("int").alias("side"),
-    )
-    placed = placed.withColumn("border", F.lit(False)).unionByName(borders.withColumn("border", F.lit(True)))
 
-    def by_turn(name: str) -> Column:
-        pairs = F.map_from_entries(F.coalesce(name, F.array().cast("array<struct<turn:int,task:bigint>>")))
-        return F.transform(F.sequence(F.lit(0), F.size("codes") - 1), lambda t: F.coalesce(F.try_element_at(pairs, t), F.lit(0).cast("long")))
+def _tasks(full: DataFrame, dense: DataFrame, turns: list[int], window: int, block: int) -> DataFrame:
+    """The rows of every window task and dense run's task of the passes ``turns``."""
+    rows = full.select("node", "n", "v", "kind", "ranks", "leads", F.explode(F.array(*map(F.lit, turns))).alias("turn")).where(F.col("turn") < F.size("ranks"))
+    rows = rows.withColumn("rank", F.get("ranks", F.col("turn"))).withColumn("lead", F.get("leads", F.col("turn")))
+    own = F.floor(F.col("rank") / block)
+    # the first vectors of a block are also the last ones' neighbours in the block before
+    both = F.when(F.col("rank") - own * block < window, F.array(F.struct(own.alias("at"), F.lit(0).alias("side")), F.struct((own - 1).alias("at"), F.lit(1).alias("side"))))
+    windows = rows.select("*", F.explode(F.coalesce(both, F.array(F.struct(own.alias("at"), F.lit(0).alias("side"))))).alias("to"))
+    windows = windows.select(*_TASK[2:], F.xxhash64(F.lit("window"), "to.at").alias("task"), F.col("to.side").alias("side"), F.lit(False).alias("whole"))
+    runs = rows.join(dense, ["turn", "kind", "lead"])
+    own = F.floor((F.col("rank") - F.col("first")) / block)
+    runs = runs.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / block))))
+    task = F.xxhash64("turn", "kind", "lead", F.least("own", "other"), F.greatest("own", "other"))
+    runs = runs.select(*_TASK[2:], task.alias("task"), (F.col("own") > F.col("other")).cast("int").alias("side"), F.lit(True).alias("whole"))
+    return windows.unionByName(runs)
+
+
+_TASK = ["task", "side", "node", "n", "v", "kind", "ranks", "leads", "turn", "rank"]
+
 
-    leads = F.expr(f"transform(codes, c -> shiftright(c, {CODE} - bits))")
-    full = cut(full.join(held, "node", "left").select("node", "n", "v", leads.alias("runs"), by_turn("after").alias("after"), by_turn("before").alias("before")))
-    tasks = placed.join(full, "node").select("task", "turn", "side", "border", "node", "n", "v", "runs", "after", "before")
+def _links(tasks: DataFrame, window: int, threshold: float) -> DataFrame:
+    """(node, links, root): how many others each vector links in pairs that meet first here, and a forest of them."""
 
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _groups(batches, "task"):
             if part.num_rows < 2:
                 continue
             column = {n: part.column(n).combine_chunks() for n in part.column_names}
-            node, weight, turn = column["node"].to_numpy(), column["n"].to_numpy(), int(column["turn"][0].as_py())
-            side = column["side"].to_numpy()
-            if column["border"][0].as_py() and side.min() == side.max():
-                continue
-            met = [column[k].flatten().to_numpy().reshape(len(node), -1) for k in ("runs", "after", "before")]
-            links = np.zeros(len(node), np.int64)
-
-            def counted(pairs, links=links, weight=weight):
-                for i, j in pairs:
-                    np.add.at(links, i, weight[j])
-                    np.add.at(links, j, weight[i])
-                    yield i, j
-
-            root = roots(len(node), counted(_compared(_unit(column["v"]), side, *met, turn, threshold)))
-            hit = np.flatnonzero(links)
-            if len(hit):
-                yield pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array(links[hit]), pa.array(node[root[hit]])], names=["node", "links", "root"])
-
-    tasks = tasks.repartition("task").sortWithinPartitions("task")
-    found = cut(tasks.mapInArrow(linked, "node long, links long, root long"))
-    joined = components(found, "node", "root")
-    links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    named = distinct.select("node", "h0", "h1", "n", "least").join(joined, "node", "left").join(links, "node", "left")
-    named = named.withColumn("component", F.coalesce("component", "node"))
+            kinds = column["kind"].to_numpy()
+            for kind in np.unique(kinds):  # vectors of a kind are equally long
+                rows = np.flatnonzero(kinds == kind)
+                if len(rows) < 2:
+                    continue
+                own = {n: c.take(pa.array(rows)) for n, c in column.items()} if len(rows) < len(kinds) else column
+                node, weight, side, rank, turn = (own[n].to_numpy() for n in ("node", "n", "side", "rank", "turn"))
+                ranks, leads = (own[n].flatten().to_numpy().reshape(len(node), -1) for n in ("ranks", "leads"))
+                units = _unit(own["v"])
+                if own["whole"][0].as_py():
+                    pairs = _in_blocks(units, side, rank, window, threshold)
+                else:
+                    pairs = ((i[near], j[near]) for i, j in _in_windows(units, turn, rank, window, threshold) for near in [side[i] == 0])
+                links = np.zeros(len(node), np.int64)
+
+                def counted(pairs, links=links, weight=weight, ranks=ranks, leads=leads, turn=turn):
+                    for i, j in pairs:
+                        for earlier in range(int(turn.max())):
+                            met = (np.abs(ranks[i, earlier] - ranks[j, earlier]) <= window) | (leads[i, earlier] == leads[j, earlier])
+                            new = ~met | (turn[i] <= earlier)
+                            i, j = i[new], j[new]
+                        np.add.at(links, i, weight[j])
+                        np.add.at(links, j, weight[i])
+                        yield i, j
+
+                root = roots(len(node), counted(pairs))
+                hit = np.flatnonzero(links)
+                if len(hit):
+                    yield pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array(links[hit]), pa.array(node[root[hit]])], names=["node", "links", "root"])
+
+    tasks = tasks.select(*_TASK, "whole").repartition("task").sortWithinPartitions("task", "rank")
+    return tasks.mapInArrow(run, "node long, links long, root long")
+
+
+def near_duplicates(
+    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
+    threshold: float = THRESHOLD, window: int = WINDOW, block: int = BLOCK, recall: float = RECALL, seed: int = SEED,
+) -> DataFrame:
+    """``id_col``, n_links, component_id and kept of every row."""
+    block = max(block, window)
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.col(label_col).alias("label"))
+    double = F.transform("v", lambda x: x.cast("double"))
+    sound = F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists(double, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    sound &= F.exists(double, lambda x: x != 0) & F.col("label").isNotNull()
+    keys = [F.when(sound, F.xxhash64(F.lit(k), "label", "v")).alias(f"h{k}") for k in range(2)]
+    keyed = cut(rows.select("id", *keys))
+    grouped = rows.where(sound).select("id", "v", F.xxhash64("label", F.size("v")).alias("kind"), *keys).groupBy("h0", "h1")
+    distinct = grouped.agg(F.min("id").alias("least"), F.count("*").alias("n"), F.first("v").alias("v"), F.first("kind").alias("kind"))
+    distinct = cut(distinct.withColumn("node", F.monotonically_increasing_id()))
+    names = cut(distinct.select("node", "h0", "h1", "n", "least"))
+
+    plan = _planned(distinct, threshold, window, recall)
+    ranked = _ranked(distinct, plan, seed)
+    runs = ranked.groupBy("turn", "kind", "lead").agg(F.min("rank").alias("first"), F.count("*").alias("size"))
+    dense = cut(runs.where(F.col("size") > window))
+    by_turn = F.array_sort(F.collect_list(F.struct("turn", "rank", "lead")))  # one entry for each pass
+    places = ranked.groupBy("node").agg(by_turn.alias("p")).select("node", F.col("p.rank").alias("ranks"), F.col("p.lead").alias("leads"))
+    full = cut(distinct.select("node", "n", "v", "kind").join(places, "node"))
+    release(distinct, ranked)
+    turns = plan.agg(F.max("turns")).head()[0] or 0
+    found = [cut(_links(_tasks(full, dense, list(range(t, min(t + PASSES_A_JOB, turns))), window, block), window, threshold)) for t in range(0, turns, PASSES_A_JOB)]
+    release(full, dense, plan)
+
+    linked = functools.reduce(DataFrame.unionByName, found) if found else keyed.sparkSession.createDataFrame([], "node long, links long, root long")
+    joined = components(linked, "node", "root")
+    links = linked.groupBy("node").agg(F.sum("links").alias("links"))
+    named = names.join(joined, "node", "left").join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(least, "component").select("h0", "h1", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
     out = keyed.join(named, ["h0", "h1"], "left")

@@ -5,9 +5,11 @@ text's 3-word shingles. Equal fingerprints are collapsed first. Two fingerprints
 in at least one of four 16-bit blocks, so the distinct ones are dealt out by (block, value), and
 each such set is joined with itself on the trie of its fingerprints: pairs of trie nodes go down
 together, a pair of branches that differ costs one bit, and a pair is dropped when it has cost more
-than 3. Small node pairs are compared directly. A set that is too large for one task is dealt out
-again by a quarter of its remaining bits (the same argument holds there), so no set, hot or not,
-stays whole; no pair is lost by it. A task returns the links of a spanning forest of what it found.
+than 3. Small node pairs are compared directly. A set of over ``SET_ROWS`` is dealt out again by a
+quarter of its remaining bits (the same argument holds there), up to ``_LEVELS`` times; what is then
+still larger than ``LAST_ROWS`` is cut into blocks, of which every two are joined in a task of their
+own. So no task grows with a set, and no pair is lost. A task returns the links of a spanning forest
+of what it found.
 
 Defined cases: a null text is an empty one; a text without words has fingerprint zero and links
 like any other; fewer than three words are one shingle; repeated rows and ties link; rows with a
@@ -22,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tempora.llm.components import components
 from tempora.llm.storage import cut
@@ -29,6 +32,7 @@ from tempora.llm.storage import cut
 BITS = 3
 SHINGLE = 3
 SET_ROWS = 4096
+LAST_ROWS = 1 << 17
 _LEVELS = 3
 _LEAF = 64
 _FRONT = 400_000
@@ -67,9 +71,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             values = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(0)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(values.view(np.int64))], names=[*batch.schema.names[1:], "fp"])
 
-    rows = docs.select(F.col(text_col).cast("string").alias("__text"), id_col, *extra)
-    kept = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes[1:])
-    return rows.mapInArrow(run, f"{kept}, fp long")
+    rows = docs.select(F.col(text_col).cast("string"), id_col, *extra)
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[1:], T.StructField("fp", T.LongType())]))
 
 
 def trie_pairs(keys: np.ndarray, begins: np.ndarray, ends: np.ndarray, bits: int = BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -145,7 +148,7 @@ def roots(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return root
 
 
-def _sets(distinct: DataFrame, set_rows: int) -> DataFrame:
+def _sets(distinct: DataFrame, set_rows: int, last_rows: int) -> DataFrame:
     """(key, fp): sets of fingerprints such that any two within 3 bits meet in one of them."""
     high = lambda x, n: x.bitwiseAND(F.lit((1 << n) - 1))
     fp = F.col("fp")
@@ -177,7 +180,11 @@ def _sets(distinct: DataFrame, set_rows: int) -> DataFrame:
             at += n
         rows = rows.join(large, "key").select("fp", F.explode(F.array(*parts)).alias("s")).select("fp", "s.key", "s.rest")
         width -= sizes[0]
-    return _union([*done, rows.select("key", "fp")])
+    rows = cut(rows.select("key", "fp"))
+    blocks = rows.groupBy("key").count().select("key", F.ceil(F.col("count") / last_rows).cast("int").alias("n"))
+    rows = rows.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    return _union([*done, rows.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp")])
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -187,7 +194,7 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def links(distinct: DataFrame, bits: int = BITS, set_rows: int = SET_ROWS) -> DataFrame:
+def links(distinct: DataFrame, bits: int = BITS, set_rows: int = SET_ROWS, last_rows: int = LAST_ROWS) -> DataFrame:
     """(a, b): links that connect all of ``fp`` within ``bits`` (at most 3) bits, a forest of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +220,7 @@ def links(distinct: DataFrame, bits: int = BITS, set_rows: int = SET_ROWS) -> Da
         if rows:
             yield joined(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    sets = _sets(distinct, set_rows).repartition("key").sortWithinPartitions("key", "fp")
+    sets = _sets(distinct, set_rows, last_rows).repartition("key").sortWithinPartitions("key", "fp")
     return sets.select("key", "fp").mapInArrow(run, "a long, b long")
 
 

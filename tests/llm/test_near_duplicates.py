@@ -126,6 +126,10 @@ def clusters(seed, groups, size, dims=16, noise=0.06):
     return out
 
 
+def sorted_rows(frame):
+    return sorted(tuple(r) for r in frame.collect())
+
+
 def test_embeddings_against_brute_force(spark):
     vectors = clusters(1, 60, 6) + clusters(2, 1, 40, noise=0.3)
     rows = [(i, v, i % 2) for i, v in enumerate(vectors)]
@@ -135,14 +139,45 @@ def test_embeddings_against_brute_force(spark):
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
     rows = [(r["vec_id"], r["embedding"], r["label"]) for r in frame.collect()]
     expected = plain_embeddings(rows)
-    got = embedding_dedup.near_duplicates(frame, block=32)  # long windows are cut into blocks, all of which meet
-    assert sorted(tuple(r) for r in got.collect()) == expected
-    got = sorted(tuple(r) for r in embedding_dedup.near_duplicates(frame, window=32).collect())  # some passes
+    assert sorted_rows(embedding_dedup.near_duplicates(frame)) == expected
+    got = sorted_rows(embedding_dedup.near_duplicates(frame, window=8, block=16))  # many passes, runs of many blocks
     assert all(g[1] <= e[1] for g, e in zip(got, expected, strict=True))
     assert sum(g[1] for g in got) >= 0.99 * sum(e[1] for e in expected)
     assert embedding_dedup.near_duplicates(frame.where("false")).count() == 0
 
 
+def test_dense_runs_are_whole(spark):
+    """A run far longer than windows and blocks, of vectors that all link: no link is missed and none counts twice."""
+    rng = np.random.default_rng(3)
+    axis = rng.standard_normal(16)
+    vectors = axis + 0.02 * rng.standard_normal((300, 16))
+    others = rng.standard_normal((600, 16))
+    rows = [(i, v.tolist(), 1) for i, v in enumerate([*vectors, *others])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted_rows(embedding_dedup.near_duplicates(frame, window=16, block=32))
+    assert got == plain_embeddings(rows)
+
+
+def test_recall_at_the_real_window(spark):
+    """20,000 vectors, a third of them in one tight label, pairs at the threshold, windows as they are."""
+    rows = skewed(seed=5, pairs=5000, dims=64, cosine=0.931)
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = embedding_dedup.near_duplicates(frame).collect()
+    links = {r["vec_id"]: r["n_links"] for r in got}
+    vectors = np.array([r[1] for r in rows])
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    labels = np.array([r[2] for r in rows])
+    found = expected = 0
+    for label in (0, 1):
+        own = np.flatnonzero(labels == label)
+        for k in range(0, len(own), 1000):
+            n = (vectors[own[k : k + 1000]] @ vectors[own].T >= embedding_dedup.THRESHOLD).sum(axis=1) - 1
+            mine = np.array([links[rows[i][0]] for i in own[k : k + 1000]])
+            assert (mine <= n).all()
+            found, expected = found + mine.sum(), expected + n.sum()
+    assert expected >= 20_000 and found >= 0.998 * expected
+
+
 def skewed(seed=7, pairs=1500, dims=32, cosine=0.932):
     """Pairs just above the threshold: half of them in a tight label, in a cone, the others all around."""
     rng = np.random.default_rng(seed)
@@ -162,7 +197,7 @@ def test_embeddings_of_a_tight_label_beside_others(spark):
     rows = skewed()
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     expected = plain_embeddings(rows)
-    assert embedding_dedup.wanted_bits(3000, 32) > 0
+    assert embedding_dedup.wanted_bits(3000, 32) > 5
     got = sorted(tuple(r) for r in embedding_dedup.near_duplicates(frame, window=32).collect())
     assert all(g[1] <= e[1] for g, e in zip(got, expected, strict=True))
     for label in (0, 1):
@@ -171,22 +206,26 @@ def test_embeddings_of_a_tight_label_beside_others(spark):
         assert found >= 0.998 * all_
 
 
-def test_windows_cross_code_borders(spark):
+def test_windows_cross_borders(spark):
+    """One pass only, over a circle: what its windows should find is known from the order itself."""
     angle = np.random.default_rng(8).uniform(0, 2 * np.pi, 600)
     vectors = np.stack((np.cos(angle), np.sin(angle)), axis=1)
     frame = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int")
     linked = vectors @ vectors.T >= embedding_dedup.THRESHOLD
-    window, recall = 80, 0.2
-    part, bits, turns = embedding_dedup.shifted(600, embedding_dedup.THRESHOLD, vectors.mean(axis=0), (vectors @ vectors.mean(axis=0)).max(), window, recall)
-    assert bits > 0
-    same = np.zeros((600, 600), bool)
+    window, recall = 40, 0.2
+    centre = vectors.mean(axis=0)
+    part, bits, turns = embedding_dedup.shifted(600, embedding_dedup.THRESHOLD, float(centre @ centre), (vectors @ centre).max(), window, recall)
+    met = np.zeros((600, 600), bool)
     for turn in range(turns):
-        planes = np.random.default_rng([embedding_dedup.SEED, 2, turn]).standard_normal((2, embedding_dedup.CODE))[:, :bits]
-        signs = (vectors - part * vectors.mean(axis=0)) @ planes >= 0
-        same |= (signs[:, None] == signs[None]).all(axis=2)
-    in_runs = (linked & same).sum() - 600
-    found = sum(r["n_links"] for r in embedding_dedup.near_duplicates(frame, window=window, recall=recall).collect())
-    assert in_runs < found <= linked.sum() - 600  # each pair once, some over borders
+        planes = np.random.default_rng([embedding_dedup.SEED, 2, turn]).standard_normal((2, embedding_dedup.CODE))
+        signs = (np.cumsum((vectors - part * centre) @ planes >= 0, axis=1) & 1) @ (1 << np.arange(embedding_dedup.CODE)[::-1])
+        lead = signs >> (embedding_dedup.CODE - bits)
+        met |= lead[:, None] == lead[None]
+        place = np.argsort(np.argsort(signs, kind="stable"))
+        met |= np.abs(place[:, None] - place[None]) <= window // 2  # half of it, whatever the order of equal codes
+    least = (linked & met).sum() - 600
+    found = sum(r["n_links"] for r in embedding_dedup.near_duplicates(frame, window=window, block=64, recall=recall).collect())
+    assert turns == embedding_dedup.LEAST_PASSES and least <= found <= linked.sum() - 600
 
 
 def test_op7(spark):
