@@ -13,7 +13,7 @@ and a paragraph is inserted or deleted by adding or subtracting its vector. The
   as signed, so it holds up to 2**31 pieces a document, more than a text can have.
 
 Defined cases: a null text is an empty text, which has one empty paragraph; likeness of equal
-fingerprints is 1; with repeated ids the order is by id and then text; a null id sorts first; an
+fingerprints is 1; with repeated ids the order is by id, the text's hash and the text; a null id sorts first; an
 only document is its own next one; an empty table gives no rows; other columns are ignored.
 """
 
@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 EXACT = 16
 SKETCH = 256
 PIECE = 100
+RANGE_BYTES = 32 << 20
 _pieces = re.compile(f"[^.!?]{{1,{PIECE}}}[.!?]*|[.!?]+").findall
 
 
@@ -102,30 +103,54 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, f"{id_col} {rows.dtypes[0][1]}, fingerprint string")
 
 
-def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets_a_partition: int = 3) -> DataFrame:
+class Ranges:
+    """Ranges of the order by key and then hash, whose bounds are quantiles of the keys; keys that hold several quantiles are cut by hash."""
+
+    def __init__(self, quantiles: list[int]):
+        keys, share = np.unique(np.array(quantiles, np.int64), return_counts=True)
+        # a key of c quantiles is cut into c + 1 ranges of even hashes, the first of which begins with the key
+        hashes = [-(1 << 63) + ((1 << 64) // (c + 1)) * np.arange(c + 1).astype(object) if c > 1 else np.array([-(1 << 63)], object) for c in share.tolist()]
+        self.keys = np.repeat(keys, [len(h) for h in hashes])
+        self.hashes = np.array([int(x) for h in hashes for x in h], np.int64)
+
+    def of(self, keys: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """How many bounds are not after each (key, hash)."""
+        low, high = (np.searchsorted(self.keys, keys, side=s) for s in ("left", "right"))
+        out = high.copy()
+        for k in np.unique(low[high > low]).tolist():
+            rows = np.flatnonzero((low == k) & (high > low))
+            out[rows] = k + np.searchsorted(self.hashes[k : high[rows[0]]], hashes[rows], side="right")
+        return out
+
+
+def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Fingerprints of every text and of its edited text, in which the last half gives way to the next document.
 
-    Rows are dealt out by ranges of the id, whose bounds are quantiles; a range's first document is
-    also sent to the range before it, so texts are shuffled once and every row meets the next one.
+    Rows are dealt out by ranges of the id (and, where many rows have one id, of the text's hash) of
+    about ``range_bytes`` on average, whose bounds are quantiles; a range's first document is also sent
+    to the range before it, so texts are shuffled once and every row meets the next one.
     """
     spark = docs.sparkSession
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    rows = docs.select(key.alias("key"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    n = buckets_a_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(key.alias("key"), F.xxhash64(text).alias("hash"), F.col(id_col).cast("long").alias("id"), text.alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // range_bytes))
     found = rows.agg(F.percentile_approx("key", [k / n for k in range(1, n)], 10 * n)).head()[0] or []
-    bounds = np.array(sorted(set(found)), np.int64)
+    ranges = Ranges(found)
 
     @F.pandas_udf("int")
-    def bucket_of(keys: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, keys.to_numpy(np.int64), side="right"))
+    def bucket_of(keys: pd.Series, hashes: pd.Series) -> pd.Series:
+        return pd.Series(ranges.of(keys.to_numpy(np.int64), hashes.to_numpy(np.int64)))
 
-    firsts = sorted((r["b"], r["k"]) for r in rows.groupBy(bucket_of("key").alias("b")).agg(F.min("key").alias("k")).collect())  # one row a bucket
-    lent = {k: firsts[i - 1][0] for i, (_, k) in enumerate(firsts)}
+    firsts = rows.groupBy(bucket_of("key", "hash").alias("b")).agg(F.min(F.struct("key", "hash")).alias("k")).collect()  # one row a range
+    firsts = sorted((r["b"], r["k"]["key"], r["k"]["hash"]) for r in firsts)
+    lent = {(k, h): firsts[i - 1][0] for i, (_, k, h) in enumerate(firsts)}
 
     @F.pandas_udf("array<int>")
-    def places(keys: pd.Series) -> pd.Series:
-        own = np.searchsorted(bounds, keys.to_numpy(np.int64), side="right").tolist()
-        return pd.Series([[b, -1 - lent[k]] if k in lent else [b] for k, b in zip(keys.tolist(), own, strict=True)])
+    def places(keys: pd.Series, hashes: pd.Series) -> pd.Series:
+        own = ranges.of(keys.to_numpy(np.int64), hashes.to_numpy(np.int64)).tolist()
+        return pd.Series([[b, -1 - lent[kh]] if (kh := (k, h)) in lent else [b] for k, h, b in zip(keys.tolist(), hashes.tolist(), own, strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: tuple | None = None  # bucket, id, text, fingerprint
@@ -145,9 +170,9 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 waiting = None if lent_ else (bucket, id_, text, mine)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 7, _TYPES, strict=True)], names=_NAMES)
 
-    dealt = rows.select(F.explode(places("key")).alias("place"), "key", "id", "text")
-    dealt = dealt.select(F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place")).alias("bucket"), (F.col("place") < 0).alias("lent"), "key", "id", "text")
-    dealt = dealt.repartition("bucket").sortWithinPartitions("bucket", "lent", "key", "text")
+    dealt = rows.select(F.explode(places("key", "hash")).alias("place"), "key", "hash", "id", "text")
+    dealt = dealt.select(F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place")).alias("bucket"), (F.col("place") < 0).alias("lent"), "key", "hash", "id", "text")
+    dealt = dealt.repartition("bucket").sortWithinPartitions("bucket", "lent", "key", "hash", "text")
     out = dealt.select("bucket", "lent", "id", "text").mapInArrow(run, ", ".join(f"{n} {t}" for n, t in zip(_NAMES, ("long", "long", "string", "string", "string", "double", "double"), strict=True)))
     return out.withColumnRenamed("id", id_col)
 

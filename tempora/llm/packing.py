@@ -1,7 +1,7 @@
 """Packing documents into sequences: best-fit decreasing over a segment tree of remaining capacities.
 
-A document's ids, ended by an end id, are first cut into full windows; what is left over (shorter
-than a window) is packed. Leftovers are dealt at random into groups of some thousands, whatever
+A document's ids, ended by an end id, are first cut into full windows, each a sequence of its own;
+what is left over (shorter than a window) is packed. Leftovers are dealt at random into groups of some thousands, whatever
 their source or text, and each group is packed by itself: leftovers by falling length, each into
 the open window with the least remaining capacity that still holds it. The segment tree's leaves
 are the capacities 0..window, so the tightest one is found by one climb and descent. Only the
@@ -20,15 +20,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tempora.llm.arrow import text_parts
 from tempora.llm.library_tokens import library_tokens
+from tempora.llm.storage import cut
 
 WINDOW = 2048
 END_ID = 1
 GROUP_PIECES = 4096
-_SHIFT = 24  # windows of a group have numbers below 2**24
+_SHIFT = 24  # a group has about ``GROUP_PIECES`` pieces, and so fewer than 2**24 windows
+_FULL = 1 << 62  # numbers of full windows begin here
 
 
 class CapacityTree:
@@ -86,33 +91,41 @@ def pack(
 ) -> DataFrame:
     """One row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     rows = docs.select(id_col, F.col(text_col).cast("string"))
-    kind = rows.dtypes[0][1]
-    groups = max(1, -(-docs.count() // group_pieces))
+    kind = rows.schema[0].dataType
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, row = library_tokens(tokenizer), 0
+    def pieces_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, row = library_tokens(tokenizer), TaskContext.get().partitionId() << 33
         end = np.array([end_id], "<u4")
         for batch in batches:
-            at, start, length, crc, total, packs = [], [], [], [], [], []
-            for i, ids in enumerate(tokens.encoded(batch.column(1).to_pylist())):
-                ids = np.concatenate((ids, end))
-                for begin in range(0, len(ids), window):
-                    part = ids[begin : begin + window]
-                    at.append(i)
-                    start.append(begin)
-                    length.append(len(part))
-                    total.append(len(ids))
-                    packs.append(row)
-                    crc.append(zlib.crc32(part.tobytes()))
-                    row += 1
+            at, start, length, crc, total, number = [], [], [], [], [], []
+            done = 0
+            for texts in text_parts(batch.column(1)):
+                for i, ids in enumerate(tokens.encoded(texts), done):
+                    ids = np.concatenate((ids, end))
+                    for begin in range(0, len(ids), window):
+                        part = ids[begin : begin + window]
+                        at.append(i)
+                        start.append(begin)
+                        length.append(len(part))
+                        total.append(len(ids))
+                        number.append(row)
+                        crc.append(zlib.crc32(part.tobytes()))
+                        row += 1
+                done += len(texts)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(at, pa.int32())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total, packs))],
+                [batch.column(0).take(pa.array(at, pa.int32())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total, number))],
                 names=[id_col, "start", "length", "ids_crc32", "doc_tokens", "row"],
             )
 
-    pieces = rows.mapInArrow(cut, f"{id_col} {kind}, start long, length long, ids_crc32 long, doc_tokens long, row long")
-    # the piece's number in its task spreads rows that are equal in everything else
-    dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64(id_col, "start", "length", "ids_crc32", "row"), F.lit(groups)))
+    numbers = [T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens", "row")]
+    pieces = cut(rows.mapInArrow(pieces_of, T.StructType([T.StructField(id_col, kind), *numbers])))
+    # a full window is a sequence of its own; only what is left over is packed
+    named = [id_col, "start", "length", "ids_crc32", "doc_tokens"]
+    full = pieces.where(F.col("length") == window).select(*named, (F.col("row") + _FULL).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    left = pieces.where(F.col("length") < window)
+    groups = max(1, -(-left.count() // group_pieces))
+    # the piece's number spreads rows that are equal in everything else
+    dealt = left.withColumn("pack_group", F.pmod(F.xxhash64(id_col, "start", "length", "ids_crc32", "row"), F.lit(groups)))
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", id_col, "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
@@ -122,8 +135,7 @@ def pack(
         for number, length in zip(where, lengths, strict=True):
             offset.append(taken.get(number, 0))
             taken[number] = offset[-1] + length
-        return pdf.drop(columns=["row", "pack_group"]).assign(sequence_id=[base + n for n in where], offset=offset)
+        return pdf[named].assign(sequence_id=[base + n for n in where], offset=offset)
 
-    return dealt.groupBy("pack_group").applyInPandas(
-        place, f"{id_col} {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    )
+    out = T.StructType([T.StructField(id_col, kind), *numbers[:-1], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    return full.unionByName(dealt.groupBy("pack_group").applyInPandas(place, out))

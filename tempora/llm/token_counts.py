@@ -18,7 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tempora.llm.arrow import text_parts
 from tempora.llm.library_tokens import library_tokens
+from tempora.llm.storage import cut
 
 BAND = 1024
 
@@ -29,7 +31,8 @@ def lengths(docs: DataFrame, text_col: str = "text", tokenizer: str | None = Non
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = library_tokens(tokenizer)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(tokens.counts(batch.column(0).to_pylist()), pa.int64())], names=["length"])
+            for texts in text_parts(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(tokens.counts(texts), pa.int64())], names=["length"])
 
     return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "length long")
 
@@ -76,4 +79,4 @@ def quantile(sums: DataFrame, q: float) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
-    return suffix_sums(histogram(lengths(docs, text_col, tokenizer)))
+    return suffix_sums(cut(histogram(lengths(docs, text_col, tokenizer))))  # so that texts are encoded once

@@ -3,9 +3,11 @@
 Texts are turned into arrays of code points; word borders come from a table of character classes;
 every word gets a 64-bit hash from one prefix sum; an open-addressing table maps the hash to the
 number the word got when it was first met. What a word means to an operator (its ids, its scores)
-is computed once per number by the operator's ``learn``. The table is bounded: when it is full it is
-emptied, so results never depend on it. Hashes mix random 64-bit values of the characters; words of
-more than ``LONG`` characters are compared as strings.
+is computed once per number by the operator's ``learn``. The table is bounded, in words and in the
+characters of long ones: when it is full it is emptied, so results never depend on it. Hashes mix
+random 64-bit values of the characters, and a word that is found is compared by its length, first and
+last character too; words of more than ``LONG`` characters, and those that differ there from the word
+of their hash, are compared as strings.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import numpy as np
 
 LIMIT = 600_000
 LONG = 200
+LONG_CHARS = 20_000_000
 BLOCK_CHARS = 1_000_000
 SPACE, LETTER, SINGLE, OTHER = 0, 1, 2, 3
 _ODD = 0x9E3779B97F4A7C15
@@ -57,7 +60,9 @@ class WordTable:
     def _empty(self) -> None:
         self.keys = np.zeros(self.slots, np.uint64)
         self.numbers = np.zeros(self.slots, np.int32)
+        self.marks = np.zeros(1 << 12, np.int64)  # by number: length, first and last character
         self.long: dict[str, int] = {}
+        self.long_chars = 0
         self.size = 0
         if self.forget:
             self.forget()
@@ -108,22 +113,32 @@ class WordTable:
         hashes |= np.uint64(1)
         word = lambda i: chars[starts[i] : ends[i]].astype("<u4").tobytes().decode("utf-32-le")
         is_long = ends - starts > LONG
+        own = (ends - starts) << 42 | chars[starts].astype(np.int64) << 21 | chars[ends - 1].astype(np.int64)
         out = self._find(hashes)
         new = np.flatnonzero((out < 0) & ~is_long)
         if len(new):
             _, first = np.unique(hashes[new], return_index=True)
             fresh = new[np.sort(first)]
+            self._mark(own[fresh])
             self._insert(hashes[fresh])
             self.learn([word(i) for i in fresh.tolist()])
             out[new] = self._find(hashes[new])
-        for i in np.flatnonzero(is_long).tolist():
+        other = is_long | (out < 0) | (self.marks[out] != own)
+        for i in np.flatnonzero(other).tolist():
             if (text := word(i)) not in self.long:
+                self._mark(own[i : i + 1])
                 self.long[text] = self.size
+                self.long_chars += len(text)
                 self.size += 1
                 self.learn([text])
             out[i] = self.long[text]
         return out
 
+    def _mark(self, own: np.ndarray) -> None:
+        while self.size + len(own) > len(self.marks):
+            self.marks = np.concatenate((self.marks, np.zeros_like(self.marks)))
+        self.marks[self.size : self.size + len(own)] = own
+
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         mask = np.uint64(self.slots - 1)
         out = np.full(len(hashes), -1, np.int32)
@@ -166,7 +181,7 @@ class WordTable:
                 stop += 1
             chars = np.frombuffer(" ".join([*texts[first:stop], ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
             begins = np.concatenate((np.zeros(1, np.int64), np.cumsum([len(t) + 1 for t in texts[first:stop]])))
-            if self.size > self.limit and self.forget:
+            if (self.size > self.limit or self.long_chars > LONG_CHARS) and self.forget:
                 self._empty()
             yield chars, begins
             first = stop

@@ -134,3 +134,20 @@ def test_token_counts_odd_rows(spark):
     assert sum(r["n_docs"] for r in sums.collect()) == len(ODD)
     assert token_counts.quantile(sums, 0.1).head()[0] == 0
     assert token_counts.token_counts(docs_frame(spark, [])).count() == 0
+
+
+def test_words_with_equal_hashes_are_told_apart(monkeypatch):
+    """Hashes of a few bits: what length and ends tell apart is found by text, and tables are emptied when full."""
+    import numpy as np
+
+    from tempora.llm import word_table
+
+    monkeypatch.setattr(word_table, "_mix", lambda x: x & np.uint64(0xFF00000))
+    monkeypatch.setattr(word_table, "LONG_CHARS", 500)
+    names: list[str] = []
+    table = word_table.WordTable(word_table.character_classes(), names.extend, names.clear, limit=300)
+    words = ["a" * n + c for n in range(1, 30) for c in "bcdef"] + ["x" * 300, "y" * 400]
+    for chars, _ in table.blocks([" ".join(words)] * 6):
+        starts, ends = table.borders(chars)
+        numbers = table.numbered(chars, starts, ends)
+        assert [names[k] for k in numbers.tolist()] == words * (len(numbers) // len(words))
