@@ -30,10 +30,10 @@ def predict_samples(nodes: DataFrame, model: Callable[[pd.DataFrame], pd.DataFra
     return nodes.groupBy(key).applyInPandas(model, schema)
 
 
-def predict_csv(spark: SparkSession, builder: GraphBuilder, model: Callable[[pd.DataFrame], pd.DataFrame], schema: str, src, targets: Mapping[str, int | None], chunksize: int = 1000, max_batch: int | None = None, pre=None, post=None, **options) -> DataFrame:
+def predict_csv(spark: SparkSession, builder: GraphBuilder, model: Callable[[pd.DataFrame], pd.DataFrame], output: str, src, targets: Mapping[str, int | None], chunksize: int = 1000, max_batch: int | None = None, pre=None, post=None, **options) -> DataFrame:
     """From CSV files to the samples with their predictions, in one job over all samples.
 
-    ``model`` gets one sample's events and returns a row of ``schema`` with ``sample_key``; ``post`` maps
+    ``model`` gets one sample's events and returns a row of the schema ``output`` with ``sample_key``; ``post`` maps
     its rows. ``targets``: columns of the model that become ``{name}_pred``, or with a width
     ``{name}_dim{j}_pred``. Samples are numbered in the order of their files; ``max_batch`` takes so
     many chunks of ``chunksize`` of them.
@@ -43,19 +43,22 @@ def predict_csv(spark: SparkSession, builder: GraphBuilder, model: Callable[[pd.
     if max_batch is not None:
         rows = rows.where(F.col("sample_key") < max_batch * chunksize)
     graph, samples = builder.generate(rows, "sample_key", pre)
-    found = predict_samples(graph.nodes.drop("attributes", "foreign_keys"), model, schema)
+    found = predict_samples(graph.nodes.drop("attributes", "foreign_keys"), model, output)
     found = post(found) if post else found
     for name, width in targets.items():
         found = metrics.prediction_columns(found, name, name, width)
     return metrics.align(samples, found)
 
 
-def predict_batches(batches: Iterator[tuple[EventGraph, DataFrame]], model: Callable[[pd.DataFrame], pd.DataFrame], schema: str, max_batch: int | None = None, post=None) -> DataFrame | None:
+def predict_batches(batches: Iterator[tuple[EventGraph, DataFrame]], model: Callable[[pd.DataFrame], pd.DataFrame], output: str, targets: Mapping[str, int | None], max_batch: int | None = None, post=None) -> DataFrame | None:
     """Samples of at most ``max_batch`` batches (as from ``GraphBuilder.generator``) with their predictions; None without a batch."""
     parts = []
     for graph, samples in itertools.islice(batches, max_batch):
-        found = predict_samples(graph.nodes.drop("attributes", "foreign_keys"), model, schema)
-        parts.append(metrics.align(samples, post(found) if post else found))
+        found = predict_samples(graph.nodes.drop("attributes", "foreign_keys"), model, output)
+        found = post(found) if post else found
+        for name, width in targets.items():
+            found = metrics.prediction_columns(found, name, name, width)
+        parts.append(metrics.align(samples, found))
     return partition.collate(*parts) if parts else None
 
 
