@@ -25,8 +25,7 @@ MIN_LANGUAGE_SHARE = 0.3
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or of which no language holds a fair share, go."""
-    learned = langid.sample(docs, "doc_id", "text", "lang")
-    model = langid.train([r["text"] for r in learned], [r["lang"] for r in learned])
+    model = langid.learn(docs, "doc_id", "text", "lang")
     (mark,) = unused(docs, "verdict")
     found = langid.identify(docs, model, "text", mark)
     return found.where((F.col(mark)["lang_pred"] != langid.UNKNOWN) & (F.col(mark)["score"] >= MIN_LANGUAGE_SHARE)).drop(mark)
@@ -34,8 +33,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents graded toxic go."""
-    learned = toxicity.sample(docs, table(spark, sf_dir, "labels"), "doc_id", "text", "toxic")
-    model = toxicity.train([r["text"] for r in learned], [r["toxic"] for r in learned])
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), "doc_id", "text", "toxic")
     (mark,) = unused(docs, "verdict")
     return toxicity.severities(docs, model, "text", mark).where(~F.col(mark)["toxic"]).drop(mark)
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.arrow import text_parts
+from tempora.llm.arrow import fitted, text_parts
 from tempora.llm.storage import few_of_each
 from tempora.llm.word_table import WordTable, character_classes
 
@@ -219,14 +219,33 @@ class Predictor:
                 yield (labels[k], min(1.0, max(0.0, float(row[k]) / n))) if n else (UNKNOWN, 0.0)
 
 
-def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = SAMPLE_DOCS, most_chars: int = SAMPLE_CHARS, languages: int = SAMPLE_LANGUAGES) -> list:
-    """At most ``per_language`` labelled texts of each of the ``languages`` most frequent languages, chosen by a hash of id and text; of a longer one a stretch of ``most_chars``."""
+def sampled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = SAMPLE_DOCS, most_chars: int = SAMPLE_CHARS, languages: int = SAMPLE_LANGUAGES) -> DataFrame:
+    """(lang, text): at most ``per_language`` labelled texts of each of the ``languages`` most frequent languages, chosen by a hash of id and text; of a longer one a stretch of ``most_chars``."""
     text, lang = F.col(text_col).cast("string"), F.col(lang_col).cast("string")
     rows = docs.select(text.alias("text"), lang.alias("lang"), F.xxhash64(id_col, text).alias("at")).where("lang is not null and text <> ''")
     few = few_of_each(rows.select("lang", "at"), "lang", "at", per_language, languages)
     begin = F.pmod(F.xxhash64("at"), F.greatest(F.lit(1).cast("long"), F.length("text") - most_chars + 1)) + 1
     found = rows.join(F.broadcast(few), ["lang", "at"]).select("lang", "at", F.substr("text", begin.cast("int"), F.lit(most_chars)).alias("text"))
-    return sorted(found.dropDuplicates(["lang", "at"]).collect(), key=lambda r: (r["lang"], r["text"]))
+    return found.dropDuplicates(["lang", "at"]).select("lang", "text")
+
+
+def _in_order(rows: list) -> list:
+    return sorted(rows, key=lambda r: (r["lang"], r["text"]))
+
+
+def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, **bounds: int) -> list:
+    """The rows of ``sampled`` in order."""
+    return _in_order(sampled(docs, id_col, text_col, lang_col, **bounds).collect())
+
+
+def _fit(rows: list[dict]) -> LanguageModel:
+    rows = _in_order(rows)
+    return train([r["text"] for r in rows], [r["lang"] for r in rows])
+
+
+def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> LanguageModel:
+    """The model of the sample of ``docs``, trained in one task."""
+    return fitted(sampled(docs, id_col, text_col, lang_col), _fit)
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", out: str = "found") -> DataFrame:
@@ -247,7 +266,6 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", out:
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Learn from labelled rows with crc32(id as text) mod 4 other than 2, and predict all rows."""
     held = F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
-    learned = sample(docs.where(~held), id_col, text_col, lang_col)
-    model = train([r["text"] for r in learned], [r["lang"] for r in learned])
+    model = learn(docs.where(~held), id_col, text_col, lang_col)
     out = identify(docs.select(F.col(id_col).alias("id"), held.alias("held"), F.col(text_col).alias("text")), model)
     return out.select(F.col("id").alias(id_col), F.coalesce("held", F.lit(False)).alias("held_out"), "found.lang_pred", "found.score")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.arrow import text_parts
+from tempora.llm.arrow import fitted, text_parts
 from tempora.llm.library_tokens import Ragged
 from tempora.llm.storage import few_of_each
 from tempora.llm.word_table import WordTable, character_classes
@@ -232,8 +232,8 @@ def train(texts: list[str], toxic: list[int], grades: int = GRADES, rounds: int
     return ToxicityModel(features, w, t[0] + np.concatenate(([0.0], np.cumsum(np.exp(t[1:])))))
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_kind: int = SAMPLE_DOCS, most_chars: int = SAMPLE_CHARS) -> list:
-    """At most ``per_kind`` labelled texts of either kind, chosen by a hash of id and text; of a longer one a stretch of ``most_chars``."""
+def sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_kind: int = SAMPLE_DOCS, most_chars: int = SAMPLE_CHARS) -> DataFrame:
+    """(id, toxic, text): at most ``per_kind`` labelled texts of either kind, chosen by a hash of id and text; of a longer one a stretch of ``most_chars``."""
     known = labels.select(F.col(id_col).alias("id"), (F.col(label_col) > 0).cast("int").alias("toxic")).where("toxic is not null")
     known = known.groupBy("id").agg(F.max("toxic").alias("toxic"))
     text = F.col(text_col).cast("string")
@@ -242,7 +242,26 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     few = few_of_each(rows.select("id", "at").join(known, "id"), "toxic", "at", per_kind, 2)
     begin = F.pmod(F.xxhash64("at"), F.greatest(F.lit(1).cast("long"), F.length("text") - most_chars + 1)) + 1
     found = rows.join(F.broadcast(few), "at").select("id", "at", "toxic", F.substr("text", begin.cast("int"), F.lit(most_chars)).alias("text"))
-    return sorted(found.dropDuplicates(["at"]).collect(), key=lambda r: (r["id"], r["text"]))
+    return found.dropDuplicates(["at"]).select("id", "toxic", "text")
+
+
+def _in_order(rows: list) -> list:
+    return sorted(rows, key=lambda r: (r["id"], r["text"]))
+
+
+def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, **bounds: int) -> list:
+    """The rows of ``sampled`` in order."""
+    return _in_order(sampled(docs, labels, id_col, text_col, label_col, **bounds).collect())
+
+
+def _fit(rows: list[dict]) -> ToxicityModel:
+    rows = _in_order(rows)
+    return train([r["text"] for r in rows], [r["toxic"] for r in rows])
+
+
+def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> ToxicityModel:
+    """The model of the labelled sample of ``docs``, trained in one task."""
+    return fitted(sampled(docs, labels, id_col, text_col, label_col), _fit)
 
 
 def severities(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out: str = "found") -> DataFrame:
@@ -265,6 +284,5 @@ def severities(docs: DataFrame, model: ToxicityModel, text_col: str = "text", ou
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """Learn from the labelled rows of ``docs`` and grade all rows."""
-    learned = sample(docs, labels, id_col, text_col, label_col)
-    model = train([r["text"] for r in learned], [r["toxic"] for r in learned])
+    model = learn(docs, labels, id_col, text_col, label_col)
     return severities(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), model).select(F.col("id").alias(id_col), "found.*")

@@ -1,7 +1,9 @@
 import corpus_pipeline as pipeline
+import numpy as np
 from pyspark.sql import functions as F
 
 from tempora.llm import langid, toxicity
+from tempora.llm.word_table import WordTable
 from tests.llm.helpers import SF
 from tests.llm.test_line_dedup import plain as plain_lines
 from tests.llm.test_near_duplicates import plain_fingerprint, plain_simhash
@@ -110,3 +112,29 @@ def test_stages_with_odd_rows(spark):
 def test_run_reads_its_own_tables(spark):
     first = sorted(map(tuple, pipeline.run(spark, SF).collect()), key=str)
     assert first and first == sorted(map(tuple, pipeline.run(spark, SF).collect()), key=str)
+
+
+def test_models_are_trained_off_the_driver(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{SF}/{name}.parquet") for name in ("documents", "labels"))
+    learned = langid.sample(docs, "doc_id", "text", "lang")
+    language = langid.train([r["text"] for r in learned], [r["lang"] for r in learned])
+    learned = toxicity.sample(docs, labels, "doc_id", "text", "toxic")
+    toxic = toxicity.train([r["text"] for r in learned], [r["toxic"] for r in learned])
+
+    def refused(*_, **__):
+        raise MemoryError("the driver trains a model")
+
+    monkeypatch.setattr(WordTable, "__init__", refused)  # in this process only
+    for stage in (pipeline.language, pipeline.not_toxic):
+        assert stage(spark, docs, SF).count() > 0
+    found = langid.learn(docs, "doc_id", "text", "lang")
+    assert (found.labels, found.lexicon) == (language.labels, language.lexicon) and np.allclose(found.weights, language.weights)
+    found = toxicity.learn(docs, labels, "doc_id", "text", "toxic")
+    assert found.features == toxic.features and np.allclose(found.weights, toxic.weights)
+
+
+def test_models_of_no_rows(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{name}.parquet") for name in ("documents", "labels"))
+    assert langid.learn(docs.where("doc_id is null"), "doc_id", "text", "lang").labels == []
+    assert toxicity.learn(docs, labels.where("toxic is null"), "doc_id", "text", "toxic").features == {}
+    assert pipeline.language(spark, docs.limit(0), SF).count() == 0
