@@ -10,7 +10,7 @@ apart. Words are ordered by rarity: by the class
 by hash; any order gives the same result, a good one gives few candidates. Two similar sets share a
 word of their prefixes (the first n - ceil(t n) + 1 words), so sets meet on prefix words; words that
 stand in one prefix only are left out. Length, position and the differing bits of parity sketches
-(64 bits, and 128 more of lines of many words) bound the overlap that is still possible. Candidates are verified on the words themselves:
+(64 bits, each split in two for lines of many words) bound the overlap that is still possible. Candidates are verified on the words themselves:
 first the nearest earlier candidate of each line (by sketch), then, for lines that one didn't settle,
 all the others.
 
@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import functools
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +41,7 @@ COMMON_LEAST, COMMON_MOST, COMMON_SHARE = 64, 4096, 1 / 4096
 PARTS = 3
 FEW = 1_000_000
 WIDE_FROM = 112
-_SKETCH = ("bits", "wide0", "wide1")
+_SKETCH = ("bits", "half")
 
 
 def _bucket(h: Column, buckets: int) -> Column:
@@ -85,24 +86,26 @@ def rarity(sets: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     return counts.groupBy("part").agg(listed("b", "c").alias("c")).agg(F.flatten(listed("part", "c")).alias("classes"))
 
 
-def _parity(words: str, keep: Column | None = None, shift: int = 0) -> Column:
-    """64 bits, each the parity of the number of words that six bits of their hash send to it."""
-    one = F.lit(1).cast("long")
-    hits = words if keep is None else F.filter(words, lambda x: keep(x))
-    at = lambda x: (F.shiftright(x, shift) if shift else x).bitwiseAND(F.lit(63)).cast("int")
-    return F.aggregate(hits, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", one, at(x))))
+def _parity(words: str, counts: Callable[[Column], Column]) -> Column:
+    """64 bits, each the parity of the number of words that six bits of their hash send to it and that count (1, or 0)."""
+    at = lambda x: x.bitwiseAND(F.lit(63)).cast("int")
+    return F.aggregate(words, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", counts(x), at(x))))
 
 
 def _prefixes(sets: DataFrame, classes: DataFrame, threshold: float, buckets: int) -> DataFrame:
-    """(lh, n, bits, wide0, wide1, prefix): each line's number of words, its sketches and its prefix words, the rarest first."""
-    # the class in the top bits: sorting puts rare words first
-    rank = lambda w: F.shiftleft(F.get("classes", _bucket(F.hash(w), buckets)).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 7))
+    """(lh, n, bits, half, prefix): each line's number of words, its sketches and its prefix words, the rarest first.
+
+    ``half`` is the part of ``bits`` that comes from words with a seventh bit; the rest comes from the others.
+    """
+    # the class in the top bits: sorting puts rare words first; never null, so that plain longs are sorted
+    rank = lambda w: F.shiftleft(F.coalesce(F.get("classes", _bucket(F.hash(w), buckets)), F.lit(0)).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 7))
     rows = sets.select("lh", F.array_remove(F.split("line", " "), "").alias("words"), classes.scalar().alias("classes"))
     rows = rows.select("lh", F.sort_array(F.array_distinct(F.transform("words", rank))).alias("t"))
     n = F.size("t")
     size = n - F.ceil(n * threshold - 1e-9).cast("int") + 1
-    wide = [F.when(n >= WIDE_FROM, _parity("t", lambda x, k=k: F.shiftright(x, 12).bitwiseAND(F.lit(1)) == k, 6)).alias(f"wide{k}") for k in range(2)]
-    return rows.select("lh", n.alias("n"), _parity("t").alias("bits"), *wide, F.slice("t", 1, size).alias("prefix"))
+    bits = _parity("t", lambda x: F.lit(1).cast("long"))
+    half = F.when(n >= WIDE_FROM, _parity("t", lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(1).cast("long"))))
+    return rows.select("lh", n.alias("n"), bits.alias("bits"), half.alias("half"), F.slice("t", 1, size).alias("prefix"))
 
 
 def _possible(threshold: float) -> Column:
@@ -112,7 +115,8 @@ def _possible(threshold: float) -> Column:
     """
     need = F.ceil((F.col("n_a") + F.col("n_b")) * (threshold / (1 + threshold)) - 1e-9)
     most = F.col("n_a") + F.col("n_b") - 2 * need
-    wide = F.bit_count(F.col("wide0_a").bitwiseXOR(F.col("wide0_b"))) + F.bit_count(F.col("wide1_a").bitwiseXOR(F.col("wide1_b")))
+    half = F.col("half_a").bitwiseXOR(F.col("half_b"))
+    wide = F.bit_count(half) + F.bit_count(half.bitwiseXOR(F.col("bits_a")).bitwiseXOR(F.col("bits_b")))
     return (
         (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * threshold - 1e-9)
         & (F.abs(F.col("i_a") - F.col("i_b")) + F.abs(F.col("n_a") - F.col("i_a") - F.col("n_b") + F.col("i_b")) <= most)

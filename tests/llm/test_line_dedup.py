@@ -123,3 +123,26 @@ def test_any_column_names(spark):
     out = line_dedup.remove_lines(frame)
     assert out.columns == frame.columns
     assert [(r["text"], r["kept"], r["my col"]) for r in out.orderBy("doc_id").collect()] == [("a b c\nx y", "kept", "my col"), ("", "kept", "my col"), (None, "kept", "my col")]
+
+
+def test_prefixes_are_plain_longs_and_sketches_a_bound(spark):
+    rng = random.Random(3)
+    words = ["w%d" % i for i in range(600)]
+    base = rng.sample(words, 300)
+    texts = [" ".join(base), " ".join(base[:-9]), " ".join(rng.sample(words, 130)), " ".join(base[:40] + base[-90:]), " ".join(base[:30]), "a  b a"]
+    sets = line_dedup._sets(docs_frame(spark, texts), "doc_id", "text", 64)
+    classes = line_dedup.cut(line_dedup.rarity(sets, 8))
+    found = line_dedup._prefixes(sets, classes, 0.8, 8)
+    assert found.schema["prefix"].dataType.containsNull is False  # boxed numbers are sorted by a comparator
+    rows = [(r, set(texts[r["id"]].split())) for r in found.join(sets.select("lh", "id"), "lh").collect()]
+    assert len(rows) == len(texts)
+    for r, own in rows:
+        assert r["n"] == len(own) and r["prefix"] == sorted(r["prefix"]) and len(r["prefix"]) == len(own) - -(-8 * len(own) // 10) + 1
+        assert (r["half"] is None) == (len(own) < line_dedup.WIDE_FROM)
+    ones = lambda x: (x & (1 << 64) - 1).bit_count()
+    for (a, x), (b, y) in itertools.combinations(rows, 2):
+        bits = a["bits"] ^ b["bits"]
+        assert ones(bits) <= len(x ^ y)
+        if a["half"] is not None and b["half"] is not None:
+            half = a["half"] ^ b["half"]
+            assert ones(bits) <= ones(half) + ones(half ^ bits) <= len(x ^ y)
