@@ -8,8 +8,8 @@ Equal lines are collapsed first, by a 64-bit hash; another one tells different l
 apart. Words are ordered by rarity: by the class
 (power of two) of their frequency in all different lines, counted in ``BUCKETS`` hash buckets, then
 by hash; any order gives the same result, a good one gives few candidates. Two similar sets share a
-word of their prefixes (the first n - ceil(t n) + 1 words), so sets meet on prefix words; words that
-stand in one prefix only are left out. Length, position and the differing bits of parity sketches
+word of their prefixes (the first n - ceil(t n) + 1 words, of the smaller set the first
+n - ceil(2 t n / (1 + t)) + 1), so sets meet on prefix words. Length, position and the differing bits of parity sketches
 (64 bits, each split in two for lines of many words) bound the overlap that is still possible. Candidates are verified on the words themselves:
 first the nearest earlier candidate of each line (by sketch), then, for lines that one didn't settle,
 all the others.
@@ -44,6 +44,11 @@ WIDE_FROM = 112
 _SKETCH = ("bits", "half")
 
 
+def _hash(word: Column) -> Column:
+    """57 bits."""
+    return F.shiftrightunsigned(F.xxhash64(word), 7)
+
+
 def _bucket(h: Column, buckets: int) -> Column:
     """``buckets`` is a power of two."""
     return h.bitwiseAND(F.lit(buckets - 1)).cast("int")
@@ -78,7 +83,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, bits: int) -> DataFrame:
 
 def rarity(sets: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """One row with ``classes``: the power of two of each bucket's word count over all different lines; as long for any input."""
-    words = sets.select(F.explode(F.split("line", " ")).alias("w")).select(_bucket(F.hash("w"), buckets).alias("b"), F.lit(1).alias("k"))
+    words = sets.select(F.explode(F.split("line", " ")).alias("w")).select(_bucket(_hash(F.col("w")), buckets).alias("b"), F.lit(1).alias("k"))
     every = sets.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b"), F.lit(0).alias("k"))
     counts = words.unionByName(every).groupBy("b").agg(F.sum("k").alias("c"))
     counts = counts.select("b", F.floor(F.log2(F.greatest("c", F.lit(1)))).cast("tinyint").alias("c"), F.shiftright("b", 9).alias("part"))
@@ -98,9 +103,10 @@ def _prefixes(sets: DataFrame, classes: DataFrame, threshold: float, buckets: in
     ``half`` is the part of ``bits`` that comes from words with a seventh bit; the rest comes from the others.
     """
     # the class in the top bits: sorting puts rare words first; never null, so that plain longs are sorted
-    rank = lambda w: F.shiftleft(F.coalesce(F.get("classes", _bucket(F.hash(w), buckets)), F.lit(0)).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 7))
+    rank = lambda h: F.shiftleft(F.coalesce(F.get("classes", _bucket(h, buckets)), F.lit(0)).cast("long"), 57).bitwiseOR(h)
     rows = sets.select("lh", F.array_remove(F.split("line", " "), "").alias("words"), classes.scalar().alias("classes"))
-    rows = rows.select("lh", F.sort_array(F.array_distinct(F.transform("words", rank))).alias("t"))
+    # a class for each different word only
+    rows = rows.select("lh", F.sort_array(F.transform(F.array_distinct(F.transform("words", _hash)), rank)).alias("t"))
     n = F.size("t")
     size = n - F.ceil(n * threshold - 1e-9).cast("int") + 1
     bits = _parity("t", lambda x: F.lit(1).cast("long"))
@@ -135,8 +141,15 @@ def _side(rows: DataFrame, side: str, *keys: str) -> DataFrame:
 
 
 def _pairs(rows: DataFrame, threshold: float) -> DataFrame:
-    """(lh_a, lh_b, far): lines that meet in a word, once each; lh_a < lh_b."""
-    met = _side(rows, "a", "token").join(_side(rows, "b", "token"), "token").where((F.col("lh_a") < F.col("lh_b")) & _possible(threshold))
+    """(lh_a, lh_b, far): lines that meet in a word, once each; b has fewer words, or as many and the smaller hash.
+
+    Of the line with fewer words a shorter prefix will do: after it too few words are left to share, however
+    long the other line is.
+    """
+    n = F.col("n")
+    short = rows.where(F.col("i") <= n - F.ceil(2 * n * (threshold / (1 + threshold)) - 1e-9))
+    fewer = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("lh_a") > F.col("lh_b")))
+    met = _side(rows, "a", "token").join(_side(short, "b", "token"), "token").where(fewer & _possible(threshold))
     return met.select("lh_a", "lh_b", _far().alias("far")).dropDuplicates(["lh_a", "lh_b"])
 
 
@@ -169,21 +182,22 @@ def _earlier_matches(sets: DataFrame, threshold: float, buckets: int) -> list[Da
     classes = cut(rarity(sets, buckets))
     prefixes = cut(_prefixes(sets, classes, threshold, buckets))
     release(classes)
-    common = min(COMMON_MOST, max(COMMON_LEAST, round(COMMON_SHARE * prefixes.count())))
-    shared = prefixes.select(F.explode("prefix").alias("token")).groupBy("token").count().where("count > 1")
-    shared = cut(shared.select("token", (F.col("count") > common).alias("common")), by="token")
+    most = min(COMMON_MOST, max(COMMON_LEAST, round(COMMON_SHARE * prefixes.count())))
+    # a word of so many prefixes is of that class at least, one less for the rounding of logarithms
+    least = max(0, int(math.log2(most + 1)) - 1) << 57
+    tokens = prefixes.select(F.explode("prefix").alias("token")).where(F.col("token") >= least)
+    common = hot = cut(tokens.groupBy("token").count().where(F.col("count") > most).select("token"))
+    common = F.broadcast(common) if common.count() <= FEW else common
     rows = prefixes.select("lh", "n", *_SKETCH, F.posexplode("prefix").alias("i", "token"))
     pairs = []
     for part in range(PARTS):  # a part of the words at a time, so that only their rows are on disk
         own = rows.where(F.pmod("token", F.lit(PARTS)) == part)
-        pairs.append(cut(_pairs(own.join(shared.where("not common").select("token"), "token"), threshold)))
+        pairs.append(cut(_pairs(own.join(common, "token", "left_anti"), threshold)))
     met = functools.reduce(DataFrame.unionByName, pairs).dropDuplicates(["lh_a", "lh_b"])
     # similar lines are of one length class or of neighbouring ones
-    common = shared.where("common").select("token")
-    common = F.broadcast(common) if common.count() <= FEW else common
     often = rows.join(common, "token").join(sets.select("lh", F.struct("id", "pos", "lh").alias("at")), "lh")
     often = cut(often.withColumn("length", F.floor(F.log("n") / math.log(1 / threshold) + 1e-9).cast("int")))
-    release(prefixes, shared)
+    release(prefixes, hot)
     first = often.groupBy("token", "length").agg(F.min(F.struct("at", "lh", "n", "i", *_SKETCH)).alias("f")).select("token", "length", "f.*")
     found = cut(_ordered(met, sets).unionByName(_met(often, _near(first), threshold)))
     release(*pairs)

@@ -146,3 +146,15 @@ def test_prefixes_are_plain_longs_and_sketches_a_bound(spark):
         if a["half"] is not None and b["half"] is not None:
             half = a["half"] ^ b["half"]
             assert ones(bits) <= ones(half) + ones(half ^ bits) <= len(x ^ y)
+
+
+def test_pairs_meet_in_the_shorter_prefix_of_the_smaller_line(spark):
+    texts = varied(4, 60)
+    sets = line_dedup._sets(docs_frame(spark, texts), "doc_id", "text", 64)
+    prefixes = line_dedup._prefixes(sets, line_dedup.cut(line_dedup.rarity(sets, 64)), 0.8, 64)
+    rows = prefixes.select("lh", "n", *line_dedup._SKETCH, line_dedup.F.posexplode("prefix").alias("i", "token"))
+    words = {r["lh"]: frozenset(r["line"].split()) for r in sets.collect()}
+    got = [(r["lh_a"], r["lh_b"]) for r in line_dedup._pairs(rows, 0.8).collect()]
+    assert len(set(got)) == len(got) and all((len(words[a]), a) > (len(words[b]), b) for a, b in got)
+    similar = [(a, b) for a, b in itertools.permutations(words, 2) if (len(words[a]), a) > (len(words[b]), b) and len(words[a] & words[b]) >= 0.8 * len(words[a] | words[b]) - 1e-9]
+    assert len(similar) > 20 and set(similar) <= set(got)
